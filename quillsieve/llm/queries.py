@@ -5,7 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import packing, tokens
+from . import damage, packing, residue, tokens
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return damage.found(table(spark, sf, "scans"), table(spark, sf, "flags"))
+
+
+def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged scans' texts as they were written, as far as they survive."""
+    scans = table(spark, sf, "scans")
+    r = damage.repairer_for((scans, "scan_id", "visible_text"))
+    return damage.repaired(scans, r, ["scan_id"], "visible_text").where("damaged").distinct()
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(table(spark, sf, "documents"))
+
+
+def p9_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind and coverage of every document."""
+    return residue.judged(table(spark, sf, "documents"))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,5 +41,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}
