@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import damage, packing, residue, tokens
+from . import damage, lookalike, packing, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,15 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
     return damage.repaired(scans, r, ["scan_id"], "visible_text").where("damaged").distinct()
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.found(table(spark, sf, "scans"), table(spark, sf, "flags"))
+
+
+def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that weren't in the one form, in it."""
+    return lookalike.unified(lookalike.sources_of(table(spark, sf, "scans"), table(spark, sf, "flags")))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.found(table(spark, sf, "documents"))
 
@@ -41,5 +50,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}
