@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, unless their PYTHONPATH or working directory has it already."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    there = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    app = spark.sparkContext.applicationId
+    if home in there or home.endswith(".zip") or app in _SHIPPED:
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="quillsieve-"), "quillsieve")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", home, "quillsieve"))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
