@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import damage, lookalike, packing, residue, tokens
+from . import damage, langid, lookalike, packing, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,15 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
     return damage.repaired(scans, r, ["scan_id"], "visible_text").where("damaged").distinct()
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.found(table(spark, sf, "scans"), table(spark, sf, "documents"))
+
+
+def p4_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scan's main language and its lines in another, with confidence."""
+    return langid.labelled_lines(table(spark, sf, "scans"), langid.train(table(spark, sf, "documents")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found(table(spark, sf, "scans"), table(spark, sf, "flags"))
 
@@ -50,5 +59,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}
