@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import damage, langid, lookalike, packing, residue, tokens
+from . import canon, damage, langid, lookalike, packing, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,19 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
     return damage.repaired(scans, r, ["scan_id"], "visible_text").where("damaged").distinct()
 
 
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return canon.mapped({t: table(spark, sf, t) for t in ("q_skills", "q_languages", "q_education")}, table(spark, sf, "ref_values"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _typed(spark, sf).select("src", "row_id", "ref_id")
+
+
+def p3_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that mean none of the entries."""
+    return canon.misses(_typed(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return langid.found(table(spark, sf, "scans"), table(spark, sf, "documents"))
 
@@ -59,5 +72,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}
