@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import canon, damage, langid, lookalike, packing, residue, tokens
+from . import canon, damage, langid, lookalike, packing, pii, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,6 +50,16 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.unified(lookalike.sources_of(table(spark, sf, "scans"), table(spark, sf, "flags")))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found(table(spark, sf, "scans"), table(spark, sf, "extractions"))
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scan's text with its personal data replaced by typed placeholders."""
+    scans = table(spark, sf, "scans")
+    return pii.items(scans, pii.fit(scans, table(spark, sf, "extractions")), redacted=True)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.found(table(spark, sf, "documents"))
 
@@ -72,5 +82,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}
