@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import nested
+from . import nested, screening
 
-FLAGSHIP = nested.p2_blocks
-QUERIES = {**nested.QUERIES}
-SQL = {**nested.SQL}
+FLAGSHIP = screening.ranked_candidates
+QUERIES = {**screening.QUERIES, **nested.QUERIES}
+SQL = {**screening.SQL, **nested.SQL}
