@@ -19,7 +19,7 @@ INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(
 # Spaces other than the plain one, tab, line feed and return.
 SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Signs that look like a plain one.
-SIGNS = {";": ";", "ː": ":", "꞉": ":", "ꓸ": ".", "․": ".", "⁄": "/", "∕": "/", "⧸": "/", "ǃ": "!", "＂": '"', "‐": "-", "‑": "-"}
+SIGNS = {"\u037e": ";", "\u02d0": ":", "\ua789": ":", "\ua4f8": ".", "\u2024": ".", "\u2044": "/", "\u2215": "/", "\u29f8": "/", "\u01c3": "!"}
 
 
 @lru_cache(maxsize=1)

@@ -27,28 +27,43 @@ _CONTROLS = [*range(0, 9), 11, 12, *range(14, 32), 127]
 
 
 def _cls(points: list[int]) -> str:
-    """A Java character class body of code points, runs as ranges."""
+    """A Java character class body that holds the code points: runs as ranges, from U+2100 over gaps of up to 64 too.
+
+    Java tries the ranges of a class one by one, so few wide ones are much faster; what they hold beyond the points only
+    makes values that turn out canonical.
+    """
     points, out = sorted(set(points)), []
     i = 0
     while i < len(points):
         j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+        while j + 1 < len(points) and points[j + 1] - points[j] <= (64 if points[j] >= 0x2100 else 1):
             j += 1
         out.append(f"\\x{{{points[i]:X}}}" + (f"-\\x{{{points[j]:X}}}" if j > i else ""))
         i = j + 1
     return "".join(out)
 
 
+#: Combining marks, and the scripts and letters that have stand-ins for Latin ones.
+_MARKS = "\\x{300}-\\x{36F}\\x{483}-\\x{489}\\x{1AB0}-\\x{1AFF}\\x{1DC0}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{FE20}-\\x{FE2F}"
+_SCRIPTS = "\\x{131}\\x{251}\\x{261}\\x{370}-\\x{587}\\x{2170}-\\x{217F}"
+
+
 @lru_cache(maxsize=1)
 def value_pattern() -> str:
     """Java pattern of a value: a piece between plain white space with an odd character, or with letters of two scripts."""
-    odd = "[\\p{M}" + _cls([*INVISIBLE, *SPACES, *_CONTROLS, *map(ord, compat()), *map(ord, SIGNS)]) + "]"
+    odd = "[" + _MARKS + _cls([*INVISIBLE, *SPACES, *_CONTROLS, *map(ord, compat()), *map(ord, SIGNS)]) + "]"
     latin = "[A-Za-z\\x{C0}-\\x{24F}]"
-    foreign = "[" + _cls([ord(c) for c in FOREIGN]) + "]"
+    foreign = f"[{_SCRIPTS}]"
     piece = "[^ \\t\\r\\n]"
     return f"(?<!{piece})(?:(?={piece}*{odd})|(?={piece}*{latin})(?={piece}*{foreign})){piece}+"
 
 
+@lru_cache(maxsize=1)
+def any_pattern() -> str:
+    """Java pattern of the characters without which a text has no value; one pass over a text, before the pieces are cut."""
+    return "[" + _MARKS + _cls([*INVISIBLE, *SPACES, *_CONTROLS, *map(ord, compat()), *map(ord, SIGNS)]) + _SCRIPTS + "]"
+
+
 _EMOJI = re.compile("[←-⇿⌀-⏿☀-➿⬀-⯿\U0001f000-\U0001faff]")
 _UNSEEN = {chr(o) for o in INVISIBLE + _CONTROLS}
 _SPACE = {chr(o) for o in SPACES}
@@ -112,7 +127,7 @@ def _texts(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 def candidates(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """(src, rec_id, text, pieces): the texts that have any value, and their distinct values."""
     pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(value_pattern()), F.lit(0)))
-    return _texts(sources).withColumn("pieces", pieces).where(F.size("pieces") > 0)
+    return _texts(sources).where(F.col("text").rlike(any_pattern())).withColumn("pieces", pieces).where(F.size("pieces") > 0)
 
 
 def classes(values: DataFrame) -> DataFrame:
