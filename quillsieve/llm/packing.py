@@ -102,7 +102,8 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
         ids = pd.Series([f"{name}-{block}-{h}" if h >= 0 else None for h in home], dtype=object)
         return pd.DataFrame({"container_kind": name, "container_id": ids, "doc_id": frame["doc_id"].to_numpy()[row], "piece": piece, "first_token": first, "n_tokens": part})
 
-    return each.groupBy("container_kind", "block").applyInPandas(run, schema)
+    # As many partitions as groups, by number, so that small groups are not gathered into one long task.
+    return each.repartition(2 * blocks * len(kinds), "container_kind", "block").groupBy("container_kind", "block").applyInPandas(run, schema)
 
 
 def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
