@@ -13,10 +13,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
-    """The damaged scans' texts as they were written, as far as they survive."""
-    scans = table(spark, sf, "scans")
-    r = damage.repairer_for((scans, "scan_id", "visible_text"))
-    return damage.repaired(scans, r, ["scan_id"], "visible_text").where("damaged").distinct()
+    """The texts of the damaged scans and flags as they were written, as far as they survive."""
+    return damage.restored(table(spark, sf, "scans"), table(spark, sf, "flags"))
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
