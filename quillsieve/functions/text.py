@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Code points that cannot be seen, as a Java class body.
 INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{E0000}-\x{E007F}"
+#: Characters that cannot be seen beside those of Unicode's category Cf: variation selectors and the combining joiner.
+_SELECTORS = {"\u034f", "\u180b", "\u180c", "\u180d", *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0000, 0xE0080))}
 #: Findings start at so many unseen characters.
 INVISIBLE_LEAST = 3
 #: Accented Latin letters and their plain forms, position by position.
@@ -22,6 +27,32 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), _SPACE, " "))
 
 
+def _unmask(t: str | None) -> str | None:
+    if t is None or t.isascii():
+        return t
+    seen = "".join([ch for ch in t if unicodedata.category(ch) != "Cf" and ch not in _SELECTORS])
+    return "".join([ch for ch in unicodedata.normalize("NFKD", seen) if not unicodedata.combining(ch)])
+
+
+def unmask(c: Column) -> Column:
+    """The text without characters that cannot be seen and without combining marks, and
+    compatibility forms (full width, mathematical letters, ligatures) as what they stand for. Null stays null."""
+
+    def texts(batch: pa.Array) -> pa.Array:
+        return pa.array([_unmask(t) for t in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(texts, "string")(c)
+
+
+def unmask_each(c: Column) -> Column:
+    """``unmask`` of each of a list of texts."""
+
+    def lists(batch: pa.Array) -> pa.Array:
+        return pa.array([None if ts is None else [_unmask(t) for t in ts] for ts in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(lists, "array<string>")(c)
+
+
 def invisible_count(c: Column) -> Column:
     """How many characters can't be seen; 0 for an empty text."""
     return F.length(c) - F.length(strip_invisible(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, unmask, unmask_each
 
 SEVERITIES = ("clean", "info", "warn", "critical")
 #: Text that addresses an evaluating program, folded; and the same with self-praise.
@@ -24,8 +24,14 @@ def severity_name(rank: Column) -> Column:
 
 
 def instruction(c: Column, broad: bool = False) -> Column:
-    """The first match of an instruction pattern, at most 120 characters; empty without one, null for null."""
-    return F.substring(F.regexp_extract(fold(c), f"{OVERRIDE}|{PRAISE}" if broad else OVERRIDE, 0), 1, 120)
+    """The first match of an instruction pattern, at most 120 characters; empty without one, null for null.
+
+    Searched in the text itself, in the folded text and in the folded text without its disguises (unseen characters,
+    combining marks, compatibility forms), in this order of preference: folded, without disguises, itself.
+    """
+    pattern = f"{OVERRIDE}|{PRAISE}" if broad else OVERRIDE
+    hits = [F.nullif(F.regexp_extract(probe, pattern, 0), F.lit("")) for probe in (fold(c), fold(unmask(c)), F.lower(c))]
+    return F.substring(F.when(c.isNotNull(), F.coalesce(*hits, F.lit(""))), 1, 120)
 
 
 def escalate(severity: Column, hit: Column) -> Column:
@@ -36,8 +42,9 @@ def escalate(severity: Column, hit: Column) -> Column:
 def context(c: Column) -> Column:
     """The first line or sentence with an instruction, at most 300 characters; the whole text's beginning without one."""
     pieces = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(line, r"(?<=[.!?])\s+")))
-    hits = F.filter(pieces, lambda p: fold(p).rlike(OVERRIDE))
-    return F.substring(F.coalesce(F.try_element_at(hits, F.lit(1)), c), 1, 300)
+    both = F.arrays_zip(pieces.alias("piece"), unmask_each(pieces).alias("bare"))
+    hits = F.filter(both, lambda p: fold(p["piece"]).rlike(OVERRIDE) | fold(p["bare"]).rlike(OVERRIDE) | F.lower(p["piece"]).rlike(OVERRIDE))
+    return F.substring(F.coalesce(F.try_element_at(hits, F.lit(1))["piece"], c), 1, 300)
 
 
 def distinct_findings(flags: DataFrame) -> DataFrame:
