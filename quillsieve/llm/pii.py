@@ -3,8 +3,9 @@
 Transducers rewrite each text, keeping for every character of the result the place in the source that it came from:
 look-alike characters become what they stand in for, unseen ones vanish, accents fall off, spelled-out digits become
 digits, and the many ways to write the at sign and the dot become those signs. Identifiers are recognised in the
-rewritten text and their spans are mapped back to the source. Names and street names are recognised by lexicons fitted
-on a bounded sample: names from the known identities, street names from contact lines.
+rewritten text and their spans are mapped back to the source. Names and street names are recognised by lexicons of all
+parts of the known identities' names and of all streets of contact lines; a name that the lexicon can't give is searched
+for as it stands in the scan's own identity.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from ..common import spread
 from .glyphs import FOREIGN, INVISIBLE, SIGNS, SPACES, compat
 
-#: Documented bounds of the samples that the lexicons are fitted on.
-SAMPLE_NAMES, SAMPLE_TEXTS = 20_000, 4_000
+#: Documented bound of the distinct name parts and streets; beyond it ``fit`` fails instead of leaving any out.
+LEXICON_MOST = 300_000
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 # Ways to write the at sign and the dot, folded.
@@ -162,49 +163,55 @@ def transduce(text: str) -> tuple[str, list[int] | None]:
     return text, places
 
 
+_CONTACT_STREET = re.compile(rf"(?:\D{{3,40}}?:\s)?([^\d,|]{{4,40}}?),?\s{_HOUSE}(?:,?\s[^,\d]{{0,4}}\.?\s?\d*\s?[^,\d]{{0,5}})?,\s[^\d,]+")
+_STREET_NUMBER = re.compile(rf",?\s{_HOUSE}(?!\w)", re.I)
+
+
+def name_parts(name: str) -> list[tuple[str, str]]:
+    """(first or last, part) of a name of two words; none of others."""
+    plain = transduce(name)[0]
+    tokens = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", plain)
+    if len(tokens) != 2:
+        return []
+    a, b = tokens
+    turned = "," in plain or a.isupper() and len(a) > 2 and not b.isupper()
+    given, family = (b, a) if turned else (a, b)
+    return [("first", given.lower()), *(("last", part) for part in {family.lower(), *re.split(r"['’\-]", family.lower())})]
+
+
+def contact_streets(text: str) -> list[tuple[str, str]]:
+    """(street, its name) of every contact line."""
+    out = []
+    for line in text.split("\n"):
+        if "|" in line:
+            first = transduce(line.split("|")[0].strip())[0]
+            if "@" not in first and not _AT_HINT.search(first) and (m := _CONTACT_STREET.fullmatch(first)) and m.group(1).isascii():
+                out.append(("street", m.group(1).lower()))
+    return out
+
+
 class Lexicon:
-    """Names and street names, folded to small letters without accents."""
-
-    def __init__(self, names: list[str], contact_texts: list[str]):
-        first, last = Counter(), Counter()
-        for n in names:
-            plain = transduce(n)[0]
-            tokens = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", plain)
-            if len(tokens) != 2:
-                continue
-            a, b = tokens
-            turned = "," in plain or a.isupper() and len(a) > 2 and not b.isupper()
-            given, family = (b, a) if turned else (a, b)
-            first[given.lower()] += 1
-            for part in {family.lower(), *re.split(r"['’\-]", family.lower())}:
-                last[part] += 1
+    """Names and street names, folded to small letters without accents, from their counts."""
+
+    def __init__(self, first: dict[str, int], last: dict[str, int], streets: dict[str, int]):
         #: A token is a given name if it mostly stands in a given name's place.
-        self.given = {t for t, n in first.items() if len(t) >= 3 and n > 2 * last[t]} - COMMON_WORDS
+        self.given = {t for t, n in first.items() if len(t) >= 3 and n > 2 * last.get(t, 0)} - COMMON_WORDS
         self.names = self.given | {t for t, n in last.items() if len(t) >= 3} - COMMON_WORDS
-        streets: Counter[str] = Counter()
-        for t in contact_texts:
-            for line in t.split("\n"):
-                if "|" in line:
-                    first = transduce(line.split("|")[0].strip())[0]
-                    if "@" not in first and not _AT_HINT.search(first) and (m := re.fullmatch(rf"(?:\D{{3,40}}?:\s)?([^\d,|]{{4,40}}?),?\s{_HOUSE}(?:,?\s[^,\d]{{0,4}}\.?\s?\d*\s?[^,\d]{{0,5}})?,\s[^\d,]+", first)):
-                        streets[m.group(1).lower()] += 1
-        self.streets = sorted(s for s, n in streets.items() if n >= 2 and s.isascii())
-        self.street = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(self.streets, key=len, reverse=True))) + rf"),?\s{_HOUSE}(?!\w)", re.I) if self.streets else None
-        self.street_hints = tuple(dict.fromkeys(s.split()[-1] for s in self.streets))
+        self.streets = sorted(s for s, n in streets.items() if n >= 2)
         self._hits = None
 
     def __getstate__(self):
         return self.__dict__ | {"_hits": None}
 
     def hits(self) -> ahocorasick.Automaton:
-        """Where a line needs a closer look: names (n) and the words of streets (group of ``_STREETS``, or s)."""
+        """Where a line needs a closer look: names (n), the words of streets (group of ``_STREETS``) and streets (s with the length)."""
         if self._hits is None:
             a = ahocorasick.Automaton()
             kinds: dict[str, set] = defaultdict(set)
             for w in self.names:
                 kinds[w].add("n")
-            for w in self.street_hints:
-                kinds[w].add("s")
+            for w in self.streets:
+                kinds[w].add(("s", len(w)))
             for w in _ID_WORDS:
                 kinds[w].add("i")
             for k, (hints, _) in enumerate(_STREETS):
@@ -224,8 +231,10 @@ COMMON_WORDS = set("the and von van der die das ist les des une por con para pan
 def _addresses(line: str, hints: set, lex: Lexicon) -> list[tuple[int, int]]:
     found = []
     for k in hints:
-        if k == "s":
-            found += [m.span() for m in lex.street.finditer(line)]
+        if isinstance(k, tuple) and k[0] == "s":
+            a, b = k[1:]
+            if "\x00" not in line[a:b] and not (a and (line[a - 1].isalnum() or line[a - 1] == "_")) and (m := _STREET_NUMBER.match(line, b)):
+                found.append((a, m.end()))
         elif isinstance(k, int):
             found += [m.span() for m in _STREETS[k][1].finditer(line)]
     # A contact line or a captioned line: street and house number, then a town.
@@ -351,14 +360,23 @@ def _line(line: str, hints: set, lex: Lexicon) -> list[tuple[int, int, str]]:
                     near = near[min(cut_at + 1, len(near)) :] if cut_at < len(near) else near
             if alone or _PHONE_CUE.search(near) or re.search(r"(?:\b(?:at|on|na|pod|unter|al|au|le|to)\s)$", before[-12:], re.I) and re.search(r"^0|[ ./\-]", number):
                 take(m.start(), m.start() + len(number), "phone")
+    for k in sorted(k for k in hints if isinstance(k, tuple) and k[0] == "own"):
+        if "\x00" not in masked[k[1] : k[2]]:
+            take(k[1], k[2], "name")
     if "n" in hints:
         for a, b in _names(masked, lex):
             take(a, b, "name")
     return spans
 
 
-def find(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every item in the source text, in order."""
+def _own(name: str) -> re.Pattern | None:
+    """Pattern of a name as it stands; None for a name without letters."""
+    words = [re.escape(w) for w in re.split(r"\s+", transduce(name)[0].strip()) if w]
+    return re.compile(r"(?<!\w)" + r"[^\S\n]+".join(words) + r"(?!\w)", re.I) if words and _LETTERS.search(name) else None
+
+
+def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every item in the source text, in order. own: names to look for as they stand."""
     if not text:
         return []
     plain, places = transduce(text)
@@ -372,7 +390,18 @@ def find(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     if len(low) != len(plain):
         low = "".join([c.lower()[0] for c in plain])
     for end, kinds in lex.hits().iter("\n" + low):
-        hints[bisect_right(ends, end - 1)].update(kinds)
+        k = bisect_right(ends, end - 1)
+        for kind in kinds:
+            if isinstance(kind, tuple):
+                at = end - (ends[k - 1] if k else 0)
+                kind = ("s", at - kind[1], at)
+            hints[k].add(kind)
+    for name in own or ():
+        for m in rx.finditer(plain) if (rx := _own(name)) else ():
+            if not m.group(0)[0].islower():
+                k = bisect_right(ends, m.start())
+                at = ends[k - 1] if k else 0
+                hints[k].add(("own", m.start() - at, m.end() - at))
     for rx in (_ID_HINT, _AT_HINT):
         for m in rx.finditer(plain):
             hints[bisect_right(ends, m.start())]
@@ -411,23 +440,65 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
 
 
 def fit(scans: DataFrame, extractions: DataFrame, text: str = "visible_text") -> Lexicon:
-    """The lexicons from at most ``SAMPLE_NAMES`` known identities and ``SAMPLE_TEXTS`` texts with contact lines, those with
-    the smallest hashed keys."""
+    """The lexicons of all known identities' names and of all contact lines, counted where they lie. Fails if there are
+    more than ``LEXICON_MOST`` distinct parts and streets."""
+
+    def counter(of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = Counter()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    n.update(of(t))
+                if len(n) > 50_000:
+                    yield rows(n)
+                    n = Counter()
+            if n:
+                yield rows(n)
+
+        def rows(n: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["role", "word", "n"])
+
+        return run
+
+    schema = "role string, word string, n bigint"
     name = F.col("identity_info.full_name")
-    names = extractions.where(F.length(name) > 3).select(F.xxhash64("extraction_id").alias("h"), name.alias("n")).orderBy("h", "n").limit(SAMPLE_NAMES).collect()
     lines = F.array_join(F.regexp_extract_all(text, F.lit(r"[^\n]*\|[^\n]*"), F.lit(0)), "\n")
-    texts = scans.where(F.instr(text, "|") > 0).select(F.xxhash64("scan_id").alias("h"), lines.alias("t")).orderBy("h", "t").limit(SAMPLE_TEXTS).collect()
-    return Lexicon([r.n for r in names], [r.t for r in texts])
+    names = extractions.where(F.length(name) > 3).select(name.alias("t")).mapInArrow(counter(name_parts), schema)
+    streets = scans.where(F.instr(text, "|") > 0).select(lines.alias("t")).mapInArrow(counter(contact_streets), schema)
+    words = names.unionByName(streets).groupBy("role", "word").agg(F.sum("n").alias("n")).where("role <> 'street' OR n >= 2")
+    got = words.limit(LEXICON_MOST + 1).collect()
+    if len(got) > LEXICON_MOST:
+        raise ValueError(f"more than {LEXICON_MOST} distinct name parts and streets")
+    by: dict[str, dict[str, int]] = {"first": {}, "last": {}, "street": {}}
+    for r in got:
+        by[r.role][r.word] = r.n
+    return Lexicon(by["first"], by["last"], by["street"])
+
+
+def own_names(extractions: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(scan_id, own): of each scan the names of its own identities that the lexicon doesn't give as a whole."""
+    shared = extractions.sparkSession.sparkContext.broadcast(lexicon)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rest = [not any(k == "name" and a == 0 and e == len(n) for a, e, k in find(n, shared.value)) for n in b.column(1).to_pylist()]
+            yield b.filter(pa.array(rest, pa.bool_()))
 
-def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str = "visible_text", redacted: bool = False) -> DataFrame:
+    name = F.trim("identity_info.full_name")
+    given = extractions.where(F.col("scan_id").isNotNull() & (F.length(name) > 3)).select("scan_id", name.alias("own")).distinct()
+    kind = extractions.schema["scan_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"scan_id {kind}, own string").groupBy("scan_id").agg(F.collect_set("own").alias("own"))
+
+
+def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str = "visible_text", redacted: bool = False, own: DataFrame | None = None) -> DataFrame:
     """(key, kind, start_pos, end_pos) of every item, or with ``redacted`` (key, text) with the items replaced.
 
     Places are code points of the source, from 0. Null and empty texts have no items and stay as they are; repeated rows
-    give repeated rows; whole texts are read; an empty table gives an empty one. Other columns aren't read.
+    give repeated rows; whole texts are read; an empty table gives an empty one. Other columns aren't read. own: (key,
+    own), the names to look for in the row's text besides the lexicon's, at most a row a key.
     """
     shared = scans.sparkSession.sparkContext.broadcast(lexicon)
-    kind = scans.schema[key].dataType.simpleString()
+    kind, joined = scans.schema[key].dataType.simpleString(), own is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -435,7 +506,7 @@ def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str =
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 texts = b.column(1).to_pylist()
-                found = [find(t, lex) for t in texts]
+                found = [find(t, lex, o) for t, o in zip(texts, b.column(2).to_pylist() if joined else [None] * len(texts))]
                 if redacted:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t if t is None else redact(t, f) for t, f in zip(texts, found)], pa.string())], [key, text])
                 else:
@@ -444,9 +515,18 @@ def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str =
                     yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array([x[2] for x in flat], pa.string()), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64())], [key, "kind", "start_pos", "end_pos"])
 
     schema = f"`{key}` {kind}, `{text}` string" if redacted else f"`{key}` {kind}, kind string, start_pos bigint, end_pos bigint"
-    return spread(scans.select(key, text)).mapInArrow(run, schema)
+    if own is None:
+        return spread(scans.select(key, text)).mapInArrow(run, schema)
+    return spread(scans.select(key, text), key).join(own.select(key, "own"), key, "left").mapInArrow(run, schema)
 
 
 def found(scans: DataFrame, extractions: DataFrame) -> DataFrame:
     """(scan_id, kind, start_pos) of every item, each once however often its row came."""
-    return items(scans, fit(scans, extractions)).where(F.col("scan_id").isNotNull()).select("scan_id", "kind", "start_pos").distinct()
+    lexicon = fit(scans, extractions)
+    return items(scans, lexicon, own=own_names(extractions, lexicon)).where(F.col("scan_id").isNotNull()).select("scan_id", "kind", "start_pos").distinct()
+
+
+def redacted(scans: DataFrame, extractions: DataFrame) -> DataFrame:
+    """(scan_id, visible_text) of every scan with its personal data replaced by typed placeholders."""
+    lexicon = fit(scans, extractions)
+    return items(scans, lexicon, redacted=True, own=own_names(extractions, lexicon))

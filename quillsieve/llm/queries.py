@@ -54,8 +54,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every scan's text with its personal data replaced by typed placeholders."""
-    scans = table(spark, sf, "scans")
-    return pii.items(scans, pii.fit(scans, table(spark, sf, "extractions")), redacted=True)
+    return pii.redacted(table(spark, sf, "scans"), table(spark, sf, "extractions"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

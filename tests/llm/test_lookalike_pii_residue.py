@@ -82,3 +82,22 @@ def test_residue_table(spark):
     assert [r.doc_id for r in residue.found(df).collect()] == [1]
     assert sorted(str(r.doc_id) for r in residue.cleaned(df).collect()) == ["2", "3", "None"]
     assert residue.found(df.limit(0)).count() == 0
+
+
+def test_pii_names_beyond_a_sample(spark):
+    """A name of one identity among 25 000, and one of three words that only its own scan states."""
+    ids = spark.range(25_000).selectExpr("id AS extraction_id", "id AS scan_id", "named_struct('full_name', concat('Xa', translate(id, '0123456789', 'abcdefghij'), ' Qo', translate(id, '0123456789', 'abcdefghij'))) AS identity_info")
+    ids = ids.unionByName(spark.createDataFrame([(-1, -1, ("Yta van Ubberlo",))], "extraction_id bigint, scan_id bigint, identity_info struct<full_name:string>"))
+    odd = lambda n: f"The reviewer, Xa{n} Qo{n}, agreed."
+    name = lambda i: str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    scans = spark.createDataFrame([(i, odd(name(i))) for i in range(0, 25_000, 50)] + [(-1, "Yta van Ubberlo, engineer"), (-2, "Yta van Ubberlo, engineer")], "scan_id bigint, visible_text string")
+    got = pii.found(scans, ids).where("kind = 'name'").collect()
+    assert {r.scan_id for r in got} == {*range(0, 25_000, 50), -1}
+    assert pii.redacted(scans, ids).where("scan_id = -1").first().visible_text == "[NAME], engineer"
+
+
+def test_pii_lexicon_bound_fails(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEXICON_MOST", 1)
+    ids = spark.createDataFrame([(("Nora Holloden",),)], "identity_info struct<full_name:string>")
+    with pytest.raises(ValueError):
+        pii.fit(spark.createDataFrame([], "scan_id bigint, visible_text string"), ids)
