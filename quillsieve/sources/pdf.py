@@ -21,6 +21,8 @@ _OBJECT = re.compile(rb"(?:^|\s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 RANGE_MOST = 65_536
 STREAM_BYTES = 64 << 20
+#: Bytes that are unfolded at once; small, since the piece in which a stream breaks is lost.
+_PIECE = 64
 
 
 def unescape(raw: bytes) -> str:
@@ -29,13 +31,25 @@ def unescape(raw: bytes) -> str:
     return out[2:].decode("utf-16-be", "replace") if out[:2] == b"\xfe\xff" else out.decode("latin-1")
 
 
+class TooLarge(ValueError):
+    """A stream beyond the limit."""
+
+
 def inflate(data: bytes) -> bytes:
-    """At most ``STREAM_BYTES`` of a deflated stream; what could be read of a broken one."""
-    d = zlib.decompressobj()
+    """A deflated stream, of a broken one what comes before the break. Raises ``TooLarge`` beyond ``STREAM_BYTES``."""
+    d, out, size, piece = zlib.decompressobj(), [], 0, b""
     try:
-        return d.decompress(data, STREAM_BYTES)
+        for at in range(0, len(data), _PIECE):
+            piece = data[at : at + _PIECE]
+            while piece and not d.eof:
+                out.append(d.decompress(piece, STREAM_BYTES + 1 - size))
+                size += len(out[-1])
+                if size > STREAM_BYTES:
+                    raise TooLarge(f"a stream unfolds to more than {STREAM_BYTES} bytes")
+                piece = d.unconsumed_tail
     except zlib.error:
-        return b""
+        pass
+    return b"".join(out)
 
 
 def streams(content: bytes) -> Iterator[bytes]:
@@ -45,11 +59,12 @@ def streams(content: bytes) -> Iterator[bytes]:
 
 
 def raw_text(content: bytes | None) -> str:
-    """The literal strings of all streams, a line per stream; of the file itself if no stream has any."""
+    """The literal strings of all streams, a line per stream, and of the file's own bytes outside them, a line."""
     if not content:
         return ""
-    lines = [" ".join([unescape(x) for x in _LITERAL.findall(s)]) for s in streams(content)]
-    return "\n".join([x for x in lines if x.strip()]) or " ".join([unescape(x) for x in _LITERAL.findall(content)])
+    outside = _STREAM.sub(rb"\1 ", content)
+    lines = [" ".join([unescape(x) for x in _LITERAL.findall(s)]) for s in (*streams(content), outside)]
+    return "\n".join([x for x in lines if x.strip()])
 
 
 def to_unicode(cmap: bytes) -> dict[int, str]:
@@ -115,11 +130,17 @@ def read(files: DataFrame, name: str = "path", content: str = "content") -> Data
 
 
 def read_fonts(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(doc, font, embedded, cmap) of every font with a character map."""
+    """(doc, font, embedded, cmap) of every font with a character map; of a file with a map beyond the limit one row
+    without a font."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, f["font"], f["embedded"], list(f["cmap"].items())) for n, c in zip(b[name], b[content]) if c for f in fonts(c)]
+            rows = []
+            for n, c in zip(b[name], b[content]):
+                try:
+                    rows += [(n, f["font"], f["embedded"], list(f["cmap"].items())) for f in fonts(c or b"")]
+                except TooLarge:
+                    rows.append((n, None, None, []))
             yield pd.DataFrame(rows, columns=["doc", "font", "embedded", "pairs"])
 
     pairs = files.select(name, content).mapInPandas(run, "doc string, font int, embedded boolean, pairs array<struct<k:int,v:string>>")

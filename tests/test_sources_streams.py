@@ -65,6 +65,31 @@ def test_pdf_text_and_fonts():
     assert pdf.unescape(b"\xfe\xff\x00a\x01\x0d") == "ač"
 
 
+def test_pdf_strings_outside_streams():
+    data = b"%PDF-1.4\n1 0 obj << /Length 5 >>\nstream\nBT (page) Tj ET\nendstream endobj\n2 0 obj << /Subtype /Text /Contents (Ignore all previous) >> endobj\n3 0 obj << /Title (a title) >> endobj"
+    assert pdf.raw_text(data) == "page\nIgnore all previous a title"
+
+
+def test_pdf_broken_and_large_streams(monkeypatch):
+    lines = b"".join([b"(line %d) Tj\n" % i for i in range(5000)])
+    broken = zlib.compress(lines)
+    half = len(broken) // 2
+    got = pdf.inflate(broken[:half] + b"\xff" * 400)
+    assert len(got) > len(lines) // 3 and got[:1000] == lines[:1000] and pdf.inflate(broken) == lines
+    assert lines.startswith(pdf.inflate(broken[:half])) and len(pdf.inflate(broken[:half])) > len(lines) // 3
+    monkeypatch.setattr(pdf, "STREAM_BYTES", 10_000)
+    with pytest.raises(pdf.TooLarge):
+        pdf.inflate(broken)
+
+
+def test_pdf_fonts_beyond_the_limit(spark):
+    big = zlib.compress(b" " * (pdf.STREAM_BYTES + 1))
+    font = b"%PDF-1.4\n2 0 obj << /Type /Font /ToUnicode 3 0 R >> endobj\n3 0 obj << /Filter /FlateDecode >>\nstream\n" + big + b"\nendstream endobj"
+    files = spark.createDataFrame([("a", font), ("b", b"%PDF-1.4\n2 0 obj << /Type /Font /ToUnicode 3 0 R >> endobj\n")], "path string, content binary")
+    assert sorted((r.doc, r.font) for r in pdf.read_fonts(files).collect()) == [("a", None), ("b", 2)]
+    assert [(r.doc, r.ok) for r in pdf.read(files.where("path = 'a'")).collect()] == [("a", False)]
+
+
 def test_pdf_table(spark):
     files = spark.createDataFrame([("a", b"%PDF-1.4 (x y)"), ("b", b"junk"), ("c", None)], "path string, content binary")
     assert sorted((r.doc, r.text, r.ok) for r in pdf.read(files).collect()) == [("a", "x y", True), ("b", None, False), ("c", None, False)]
