@@ -78,17 +78,20 @@ _ID_WORDS = "r. c|r.c|rodn|preuk|prukaz|kazu|obcan|passport|reisepass|pasaporte|
 _BARE_ID = re.compile(r"(?<![\w/.\-])(?:[A-Z]{2}\d{6}[A-D]|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-HJ-NP-TV-Z]|\d{6}\s?/\s?\d{4})(?![\w/\-])")
 _ID_HINT = re.compile(r"\d{5}|\d[\d ./\-]{6,}\d")
 
-# Words of street names that make a number beside them a house number, folded.
+# A ring road, not an English word on -ring.
+_RING = r"(?<![aeio])(?<![^a]u)(?<!\bst)(?<!\bsp)(?<!\bb)(?<!refer)(?<!nsfer)(?<!infer)(?<!occur)(?<!recur)ring"
+# Words of street names that make a number beside them a house number, folded, and the pattern around them.
+# Each pattern's words are all those that it can match by, a space standing for any white space.
 _HOUSE = r"\d{1,4}(?:\s?[A-Za-z](?![A-Za-z]))?(?:\s?/\s?\d{1,4}[A-Za-z]?)?"
 _STREETS = [
-    ((" street", " road", " lane", " rise", " close", " avenue", " row", " drive", " way", " court", " terrace", " crescent", " gardens", " grove", " mews", " square", " hill", " walk", " place"), re.compile(rf"(?:(?:Flat|Apartment|Apt\.?|Unit)\s\d+\w?,?\s)?(?<![\w/.\-])\d{{1,4}}[A-Za-z]?,?\s(?:[A-Z][\w'’.\-]*\s){{1,3}}(?i:street|st\.|road|rd\.?|lane|rise|close|avenue|ave\.?|row|drive|way|court|terrace|crescent|gardens|grove|mews|square|hill|walk|place)(?!\w)")),
+    ((" street", " road", " lane", " rise", " close", " avenue", " row", " drive", " way", " court", " terrace", " crescent", " gardens", " grove", " mews", " square", " hill", " walk", " place", " st.", " rd", " ave"), re.compile(rf"(?:(?:Flat|Apartment|Apt\.?|Unit)\s\d+\w?,?\s)?(?<![\w/.\-])\d{{1,4}}[A-Za-z]?,?\s(?:[A-Z][\w'’.\-]*\s){{1,3}}(?i:street|st\.|road|rd\.?|lane|rise|close|avenue|ave\.?|row|drive|way|court|terrace|crescent|gardens|grove|mews|square|hill|walk|place)(?!\w)")),
     ((" rue ", " avenue ", " boulevard ", " impasse ", " chemin ", " place ", " allee ", " quai ", " route ", " passage ", " sentier "), re.compile(rf"(?<![\w/.\-])\d{{1,4}}\s?(?:bis|ter|quater)?,?\s(?i:rue|avenue|boulevard|impasse|chemin|place|allee|quai|route|passage|sentier)\s\S+")),
-    (("str. ", "strasse ", "strase ", "sse ", "gasse ", "weg ", "allee ", "platz ", "graben ", "damm ", "ufer ", "steig "), re.compile(rf"(?<!\w)(?:[A-Z][\w\-]*er\s)?[A-Z](?:\S*(?:stra\S{{1,3}}e|str\.|gasse)|\S*(?:weg|allee|platz|graben|ring|damm|ufer|steig))\s{_HOUSE}(?!\w)", re.I)),
-    ((" am ", "\nam ", " an der ", " im ", "\nim ", " zum ", "\nzum ", " zur ", " auf dem ", " unter den ", "\nin der "), re.compile(rf"(?<!\w)(?:Am|An\sder|Im|Zum|Zur|Auf\sdem|Unter\sden|In\sder|AM|IM|ZUM|ZUR)\s[A-Z]\S*(?:graben|berg|bach|hof|feld|tor|markt|wald|see|garten|teich|hang|anger|muhle|hlgraben)\s{_HOUSE}(?!\w)", re.I)),
-    (("calle ", "c/", "avda", "avenida ", "plaza ", "paseo ", "camino ", "carretera ", "ronda ", "travesia "), re.compile(rf"(?<!\w)(?i:calle|c/|avda\.?|avenida|plaza|paseo|camino|carretera|ronda|travesia)\s?(?:(?i:de|del|la|los|las|el)\s){{0,3}}[^\s\d,]+(?:\s[^\s\d,]+)?,?\s{_HOUSE}(?!\w)")),
-    ((" ul. ", "\nul. ", "ulice ", "ulica ", " nam. ", "namesti ", "namestie ", " os. ", "\nos. ", " al. ", "\nal. ", "aleja ", " pl. ", "\npl. ", " tr. ", "trida "), re.compile(rf"(?<!\w)(?i:ul\.|ulice|ulica|nam\.|namesti|namestie|os\.|osiedle|al\.|aleja|pl\.|plac|tr\.|trida)\s(?:[^\s\d,|]+\s){{1,4}}{_HOUSE}(?!\w)")),
-    ((" ulica ", " ulice ", " cesta ", " ctvrt ", " namesti ", " trida ", " nabrezi ", " alej "), re.compile(rf"(?<!\w)[A-Z][^\s\d,|]*\s(?i:ulica|ulice|cesta|ctvrt|namesti|namestie|trida|nabrezi|alej)\s{_HOUSE}(?!\w)")),
-    (("вул", "пров", "просп", "бул", "пл.", "узвіз"), re.compile(rf"(?<!\w)(?i:вул\.|вулиц[яі]|пров\.|провул\w+|просп\.|проспект\w?|бул\.|бульвар\w?|пл\.|площ[аі]|узвіз)\s[^\s\d,]+(?:\s[^\s\d,]+)?,?\s{_HOUSE}(?!\w)")),
+    (("str. ", "stra", "gasse ", "weg ", "allee ", "platz ", "graben ", "ring ", "damm ", "ufer ", "steig "), re.compile(rf"(?<!\w)(?:[A-Z][\w\-]*er\s)?[A-Z](?:\S*(?:stra(?:ss?|[^\x00-\x7f]\S{{0,2}}|\?)e|str\.|gasse)|\S*(?:weg|allee|platz|graben|{_RING}|damm|ufer|steig))\s{_HOUSE}(?!\w)", re.I)),
+    (("am ", "an der ", "im ", "zum ", "zur ", "auf dem ", "unter den ", "in der "), re.compile(rf"(?<!\w)(?:Am|An\sder|Im|Zum|Zur|Auf\sdem|Unter\sden|In\sder|AM|IM|ZUM|ZUR)\s[A-Z]\S*(?:graben|berg|bach|hof|feld|tor|markt|wald|see|garten|teich|hang|anger|muhle|hlgraben)\s{_HOUSE}(?!\w)", re.I)),
+    (("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "carretera", "ronda", "travesia"), re.compile(rf"(?<!\w)(?i:calle|c/|avda\.?|avenida|plaza|paseo|camino|carretera|ronda|travesia)\s?(?:(?i:de|del|la|los|las|el)\s){{0,3}}[^\s\d,]+(?:\s[^\s\d,]+)?,?\s{_HOUSE}(?!\w)")),
+    (("ul. ", "ulice ", "ulica ", "nam. ", "namesti ", "namestie ", "os. ", "osiedle ", "al. ", "aleja ", "pl. ", "plac ", "tr. ", "trida "), re.compile(rf"(?<!\w)(?i:ul\.|ulice|ulica|nam\.|namesti|namestie|os\.|osiedle|al\.|aleja|pl\.|plac|tr\.|trida)\s(?:[^\s\d,|]+\s){{1,4}}{_HOUSE}(?!\w)")),
+    ((" ulica ", " ulice ", " cesta ", " ctvrt ", " namesti ", " namestie ", " trida ", " nabrezi ", " alej "), re.compile(rf"(?<!\w)[A-Z][^\s\d,|]*\s(?i:ulica|ulice|cesta|ctvrt|namesti|namestie|trida|nabrezi|alej)\s{_HOUSE}(?!\w)")),
+    (("вул", "пров", "просп", "бул", "пл.", "площ", "узвіз"), re.compile(rf"(?<!\w)(?i:вул\.|вулиц[яі]|пров\.|провул\w+|просп\.|проспект\w?|бул\.|бульвар\w?|пл\.|площ[аі]|узвіз)\s[^\s\d,]+(?:\s[^\s\d,]+)?,?\s{_HOUSE}(?!\w)(?!\s?(?:кв|км|м[²2]?|га)(?!\w))")),
 ]
 _CAPTION = re.compile(r"^\s*(?P<c>[^:|\d@]{3,40}:\s+)?(?P<s>[^|:@]{3,60}?)(?P<t>,\s[^\d,|:@]{3,30})?\s*$")
 _HAS_HOUSE = re.compile(rf"(?<![\w/.\-]){_HOUSE}(?![\w\d])")
@@ -97,6 +100,7 @@ _ADDRESS_CUE = re.compile(r"(?:address|adres\w*|bydlis\w*|bydlim|bydli\w*|pobyt|
 _DIGIT = re.compile(r"\d")
 _NINE = re.compile(r"\d(?:[ .\-/()]{0,4}\d){8}")
 _PIPE = re.compile(r"\||(?m:^[^\n:|\d@]{3,40}: [^\n]*\d)")
+_WHITE = {o: " " for o in range(0x3001) if chr(o).isspace() and o != 10}
 _TOKEN = re.compile(r"(?:[A-ZА-ЯҐЄІЇ][^\W\d_]*|[^\W\d_]*[A-ZА-ЯҐЄІЇ][^\W\d_]*)(?:['’\-][^\W\d_]+)*")
 _INITIAL = re.compile(r"(?<!\w)[A-ZА-ЯҐЄІЇ]\.\s?$")
 
@@ -125,7 +129,27 @@ _DIGIT_WORDS = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, DIG
 
 
 _FOLDED = re.compile("[À-ɏ’–—‑]")
-_DIGIT_HINTS = tuple(f" {w} " for w in "two three five seven nine dva tri pet sedm sedem zwei drei acht neun deux trois cinq neuf dos tres cinco siete dwa trzy osiem два три вісім сім".split())
+_SAME_LETTER = str.maketrans("ıſ", "is")
+
+
+@lru_cache(maxsize=1)
+def _digit_words() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in DIGITS:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def _spelled(text: str) -> bool:
+    """Whether the text holds as many whole digit words as ``_DIGIT_WORDS`` asks for."""
+    low, n = text.lower().translate(_SAME_LETTER), 0
+    for end, size in _digit_words().iter(low):
+        if (end < size or not low[end - size].isalnum()) and not low[end + 1 : end + 2].isalnum():
+            n += 1
+            if n == 7:
+                return True
+    return False
 
 
 def transduce(text: str) -> tuple[str, list[int] | None]:
@@ -152,11 +176,11 @@ def transduce(text: str) -> tuple[str, list[int] | None]:
     if not text.isascii():
         fold = _fold()
         text = _FOLDED.sub(lambda m: fold.get(ord(m.group(0)), m.group(0)), text)
-    if sum([w in text for w in _DIGIT_HINTS]) >= 3 and (m := _DIGIT_WORDS.search(text)) is not None:
+    if _spelled(text) and (m := _DIGIT_WORDS.search(text)) is not None:
         places = places if places is not None else list(range(len(text)))
         while m:
             words = list(re.finditer(r"[^\s\-]+", m.group(0)))
-            digits = "".join([DIGITS[w.group(0).lower()] for w in words])
+            digits = "".join([DIGITS[w.group(0).lower().translate(_SAME_LETTER)] for w in words])
             text = text[: m.start()] + digits + text[m.end() :]
             places = places[: m.start()] + [places[m.start() + w.start()] for w in words] + places[m.end() :]
             m = _DIGIT_WORDS.search(text, m.start() + len(digits))
@@ -389,7 +413,7 @@ def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[t
     low = plain.lower()
     if len(low) != len(plain):
         low = "".join([c.lower()[0] for c in plain])
-    for end, kinds in lex.hits().iter("\n" + low):
+    for end, kinds in lex.hits().iter("\n" + low.translate(_WHITE)):
         k = bisect_right(ends, end - 1)
         for kind in kinds:
             if isinstance(kind, tuple):
@@ -404,14 +428,14 @@ def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[t
                 hints[k].add(("own", m.start() - at, m.end() - at))
     for rx in (_ID_HINT, _AT_HINT):
         for m in rx.finditer(plain):
-            hints[bisect_right(ends, m.start())]
+            hints[bisect_right(ends, m.start())].add("x")
             if "\n" in m.group(0):
-                hints[bisect_right(ends, m.end() - 1)]
+                hints[bisect_right(ends, m.end() - 1)].add("x")
     for m in _PIPE.finditer(plain):
-        hints[bisect_right(ends, m.start())]
+        hints[bisect_right(ends, m.start())].add("x")
     out = []
     for k in sorted(hints):
-        if k < len(lines):
+        if k < len(lines) and (any(not isinstance(x, int) for x in hints[k]) or _DIGIT.search(lines[k])):
             at = ends[k] - len(lines[k]) - 1
             out += [(at + a, at + b, kind) for a, b, kind in _line(lines[k], hints[k], lex)]
     if places is not None:

@@ -101,3 +101,22 @@ def test_pii_lexicon_bound_fails(spark, monkeypatch):
     ids = spark.createDataFrame([(("Nora Holloden",),)], "identity_info struct<full_name:string>")
     with pytest.raises(ValueError):
         pii.fit(spark.createDataFrame([], "scan_id bigint, visible_text string"), ids)
+
+
+@pytest.mark.parametrize("words", ["six zero zero four eight one six zero eight", "sest nula nula ctyri osm jedna sest nula osm", "šesť nula nula štyri osem jeden šesť nula osem", "sześć zero zero cztery osiem jeden sześć zero osiem", "SIX ZERO ZERO FOUR EIGHT ONE SIX ZERO EIGHT", "six-zero-zero-four-eight-one-six-zero-eight"])
+def test_spelled_numbers_of_few_kinds(lex, words):
+    assert items(lex, f"call {words} today") == [("phone", words)]
+
+
+@pytest.mark.parametrize("street", ["14 Millbeck Rd", "14 Millbeck St.", "14 Millbeck Ave", "Stubenring 5", "osiedle Lipowe 7", "plac Lipowy 7", "площа Ринок 7"])
+def test_streets_without_another_hint(lex, street):
+    assert ("address", street) in items(lex, f"Nothing else here: I live at {street} now.") or ("address", street) in items(lex, f"I live at {street}, thanks")
+
+
+@pytest.mark.parametrize("text", ["We demonstrate 3 tools.", "Площа складу становила 250 м², і все.", "Training in 2019 and during 2020, engineering 5 modules, monitoring 12 sites."])
+def test_no_streets(lex, text):
+    assert items(lex, text) == []
+
+
+def test_email_beside_a_street_word(lex):
+    assert items(lex, "see row nora (at) posta (dot) example") == [("email", "nora (at) posta (dot) example")]
