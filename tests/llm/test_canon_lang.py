@@ -70,3 +70,34 @@ def test_labels_and_lines(spark, model):
     assert got == [(1, 2, "en"), (2, -1, "cs"), (6, -1, "en")]
     assert langid.found(scans.limit(0), None, model).count() == 0
     assert [langid.label_language(x) for x in ("EN", "en_US", "de-AT", "ukr", "xx", "", None, "nl", "UK")] == ["en", "en", "de", "uk", None, None, None, None, "uk"]
+
+
+def test_unknown_languages_are_rejected(spark, model):
+    """Texts in languages without a model have no main language; lines of them aren't taken for another of the eight."""
+    none = [
+        "Tämä on suomenkielinen lause, jossa puhutaan työkokemuksesta ja osaamisesta eri aloilla.",
+        "Ez egy magyar nyelvű mondat, amely a munkatapasztalatról és a készségekről szól.",
+        "Detta är en svensk mening som handlar om arbetslivserfarenhet och kompetens inom olika områden.",
+    ]
+    assert [s[0] for s in langid.segments(none, model)] == [None] * 3
+    cs = "Dávám přednost krátkým poradám, písemným závěrům a otevřené zpětné vazbě.\nVe volném čase opravuji stará kola a pomáhám v místní knihovně."
+    main, _, others = langid.segments([f"{cs}\n{none[0]}"], model)[0]
+    assert main == "cs" and all(rejected for _, _, _, rejected in others)
+    scans = spark.createDataFrame([(1, none[0], None), (2, cs, None)], "scan_id bigint, visible_text string, lang_label string")
+    assert [tuple(r) for r in langid.found(scans, None, model).collect()] == [(2, -1, "cs")]
+
+
+def test_short_foreign_lines(model):
+    """A line's length doesn't decide whether it is in another language; names and addresses aren't."""
+    cs = "Dávám přednost krátkým poradám, písemným závěrům a otevřené zpětné vazbě.\nVe volném čase opravuji stará kola a pomáhám v místní knihovně."
+    got = langid.segments([f"{cs}\nWe repair old bicycles.", f"{cs}\nReferenz: Lukas Falkenlechner, Abteilungsleitung, Tel. 04066969176."], model)
+    assert [[(k, code) for k, code, _, no in others if not no] for _, _, others in got] == [[(2, "en")], []]
+
+
+def test_sample_by_keys(spark):
+    """Repeated and null keys neither fail nor swell the sample; without labelled texts there is no model."""
+    text = "Dávám přednost krátkým poradám, písemným závěrům a otevřené zpětné vazbě. " * 3
+    docs = spark.createDataFrame([(1, text, "cs"), (1, text, "cs"), (None, text, "cs"), (2, None, "cs"), (3, text, None)], "doc_id bigint, text string, lang string")
+    assert langid.train(docs).languages == ["cs"]
+    with pytest.raises(ValueError):
+        langid.train(docs.limit(0))
