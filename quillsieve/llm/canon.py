@@ -3,7 +3,8 @@
 The forms of all entries (labels, aliases, regular derivations) are indexed by symmetric deletion: every form under each
 string that deleting up to two of its first letters gives, so a typed value meets its candidates by a few dictionary
 look-ups. Candidates are ranked by weighted Damerau-Levenshtein distance and then by how often their entry is typed
-correctly. A value that meets none within the bound for its length is reported as a miss.
+correctly. A value that meets none is aligned word by word, by the same distance; one that still meets none is reported
+as a miss. Each distinct value is matched once and joined back to its rows.
 """
 
 from __future__ import annotations
@@ -11,155 +12,66 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import spread
+from ..common import cut, slots
 from .lookalike import alike
 
 #: First letters of a form whose deletions are indexed.
 PREFIX = 8
 #: The reference list is a parameter table; a larger one must be split by kind first.
 MOST_ENTRIES = 20_000
-CACHE_VALUES = 500_000
+#: Bounds of the map of distinct values that is broadcast, and rows of one value that one task may get in the other join.
+BROADCAST_VALUES, BROADCAST_CHARS, HOT_ROWS = 400_000, 8_000_000, 1_000_000
 NONE = "none"
 
-# Further names of entries, by kind and label.
-MORE = {
-    "lang": {
-        "English": "AJ|engl.|anglicina|język angielski|englische Sprache|Business English|British English|American English|inglés|anglais|англійська",
-        "German": "NJ|nemčina|język niemiecki|Deutsche Sprache|aleman|allemand|німецька",
-        "Czech": "ČJ|tschechische Sprache|język czeski|čeština|checo|чеська",
-        "Slovak": "SJ|slovenský jazyk|slowakische Sprache|język słowacki|словацька",
-        "Slovenian": "Slovene|slovinský jazyk|slovenščina",
-        "French": "FJ|francúzština|französische Sprache|język francuski|francés|французька",
-        "Spanish": "ŠJ|castellano|castilian|španielčina|spanische Sprache|język hiszpański|іспанська",
-        "Italian": "IJ|taliančina|italienische Sprache|język włoski|італійська",
-        "Polish": "PJ|język polski|poľština|polnische Sprache|польська",
-        "Ukrainian": "ukrajinčina|ukrainische Sprache|język ukraiński|украинский",
-        "Russian": "RJ|russische Sprache|język rosyjski|русский|російська",
-        "Hungarian": "maďarčina|ungarische Sprache|magyar nyelv",
-        "Romanian": "rumunčina|limba română|rumänische Sprache",
-        "Bulgarian": "bulharčina|български",
-        "Croatian": "chorvátčina",
-        "Serbian": "srbčina|српски",
-        "Dutch": "holandština|holandsky|holandčina|Flemish|vlámština|nizozemsky",
-        "Portuguese": "portugalčina",
-        "Swedish": "švédčina",
-        "Norwegian": "nórčina|bokmål|nynorsk|no",
-        "Danish": "dánčina",
-        "Finnish": "fínčina",
-        "Turkish": "turečtina",
-        "Greek": "ελληνικά|gréčtina|novořečtina",
-        "Chinese": "中文|汉语|普通话|čínsky|mandarin chinese|mandarínština",
-        "Japanese": "日本語|japončina",
-        "Korean": "한국어|kórejčina",
-        "Arabic": "العربية|arabčina",
-    },
+# Public names that no rule below gives, by kind and label. Languages: other names in use beside CLDR's.
+# Levels: the descriptors of the CEFR global scale, of the ILR scale and of the scales usual in German and Czech CVs.
+# Education: degrees and school-leaving exams of the European countries. Skills: other names of the products and trades.
+SYNONYMS = {
+    "lang": {"Slovenian": "Slovene", "Spanish": "castellano|Castilian", "Dutch": "Flemish|holandština|Hollandisch", "Greek": "novořečtina"},
     "level": {
-        "A1": "just started|complete beginner|absolute beginner|úplný začátečník|mírně pokročilý začátečník|Anfängerkenntnisse",
-        "A2": "basic knowledge|basics only|basics|základní znalost|základní znalosti|pre-intermediate|Grundkenntnis|mírně pokročilý",
-        "B1": "domluvím se|komunikativní znalost|komunikativně|konversationssicher|lower intermediate|intermediate level|mittlere Kenntnisse",
-        "B2": "upper intermediate|upper intermediate level|pokročilá znalost|velmi dobrá znalost|fortgeschritten|gut",
-        "C1": "fluent in speech and writing|fluently|plynule|plynule slovem i písmem|verhandlungssicher|advanced|sehr gute Kenntnisse|full professional proficiency",
-        "C2": "full mastery|near native|proficient|proficiency|mistrovská znalost|bilingual proficiency",
-        "native": "mateřský jazyk|Muttersprachler|Muttersprachlerin|first language|first language, native|rodilá mluvčí|mateřština|native language",
+        "A1": "starter|novice",
+        "B1": "threshold|limited working proficiency|konversationssicher|komunikativně",
+        "B2": "professional working proficiency|fortgeschritten",
+        "C1": "advanced|effective operational proficiency|full professional proficiency|verhandlungssicher|plynule",
+        "C2": "proficient|bilingual proficiency",
+        "native": "mateřský jazyk|first language|Muttersprachler",
     },
     "edu": {
-        "secondary": "SŠ s maturitou|střední škola s maturitou|středoškolské s maturitou|secondary school|secondary school leaving exam|gymnázium|gymnasium|Matura|středoškolské vzdělání|A-levels|baccalauréat|bachillerato|liceum|SŠ|vyučen|stredná škola|stredoškolské",
-        "bachelor": "Bachelor of Science|Bachelor of Arts|bachelor's degree|B.A.|B.Sc.|bakalářský stupeň|bakalářský titul|bakalár|licencjat|licence|undergraduate degree",
-        "master": "Master of Arts|Master of Science|master's degree|M.Sc.|M.A.|Diplom-Ingenieur|Dipl.-Ing.|inženýrský titul|inženýr|VŠ magisterský obor|magisterský stupeň|magisterský titul|magister|inžinier|máster|maîtrise",
-        "phd": "Doctor of Philosophy|doctor|doctoral degree|PhD studies completed|PhD studies|doktor věd|doktorský titul|doktorské studium|Dr.|CSc.|doctorat|doctorado|doktor",
-        "course": "školení|evening course|online course|rekvalifikační kurz|vocational course|retraining course|Weiterbildung|Schulung|Fortbildung|cours|curso|szkolenie|kurs|workshop|seminar|certificate",
+        "secondary": "gymnázium|Gymnasium|liceum|baccalauréat|bachillerato|A-levels|secondary school",
+        "bachelor": "BA|licence|licencjat|bakalár|undergraduate",
+        "master": "MA|magister|inženýr|inžinier|Diplom|Diplom-Ingenieur|máster|maîtrise",
+        "phd": "doctor|doktor|Dr.|CSc.|doctorat|doctorado",
+        "course": "školení|Schulung|Weiterbildung|cours|curso|kurs|szkolenie|workshop",
     },
     "skill": {
-        "Python": "Py|Python language|py3|Python 3",
-        "Java": "Java SE|Java EE|core java",
-        "JavaScript": "ECMAScript|Java Script|ES6",
-        "TypeScript": "Type Script",
-        "C": "ANSI C|C language|C programming|jazyk C|language C",
-        "C++": "C plus plus|cplusplus|C++17|C++ 20|Visual C++",
-        "C#": "C sharp|c sharp .net|C# 10",
-        "SQL": "SQL queries|SQL dotazy|SQL databases|Structured Query Language",
-        "PostgreSQL": "PgSQL|Postgre SQL|Postgres DB",
-        "MySQL": "My SQL",
-        "Microsoft SQL Server": "MS SQL|SQL Server|MS SQL Server|T-SQL server",
-        "Oracle Database": "Oracle|Oracle 19c|Oracle 12c|PL/SQL Oracle",
-        "MongoDB": "Mongo DB",
-        "Redis": "Redis cache",
-        "Kubernetes": "K8S admin|kubernetes cluster|kubernets cluster",
-        "Docker": "docker-compose|docker compose|Docker containers",
-        "GitHub Actions": "GH Actions",
-        "Apache Spark": "PySpark|Spark SQL|Spark streaming",
-        "Apache Kafka": "Kafka streams",
-        "Jenkins": "Jenkins CI|Jenkins pipelines",
-        "Git": "Git (daily use)|Git SCM",
-        "Airflow": "Airflow 2",
-        "Scala": "Scala 2.13|Scala language",
-        "Figma": "Figma design",
-        "Tableau": "Tableau Desktop",
-        "Ansible": "Ansible playbooks",
-        "PHP": "PHP 8|PHP language",
-        "Laravel": "Laravel framework",
-        "Terraform": "Terraform 1.5|HashiCorp Terraform",
-        "Amazon Web Services": "AWS cloud|Amazon AWS",
-        "Microsoft Azure": "MS Azure|Azure cloud",
-        "Google Cloud": "Google Cloud Platform|GCP cloud",
-        "Microsoft Excel": "MS Excel|Excel pivot tables",
-        "Microsoft Word": "Word|Word processing in Word|word processing",
-        "PowerPoint": "MS PowerPoint|Microsoft PowerPoint|Power Point",
-        "Power BI": "PowerBI|Microsoft Power BI|MS Power BI",
-        "SAP": "SAP R/3|SAP modul MM|SAP ERP|SAP HANA|SAP S/4HANA",
-        "Salesforce": "Salesforce CRM|Sales Force",
-        "React": "React.js|React JS",
-        "React Native": "react-native apps",
-        "Angular": "AngularJS|Angular.js",
-        "Vue.js": "VueJS",
-        "Node.js": "NodeJS",
-        "Django": "Django REST|Django REST framework",
-        "Flask": "Flask Python",
-        "Spring Boot": "SpringBoot|Spring framework|SpringBoot 3",
-        "Ruby on Rails": "Rails|Ruby Rails",
-        "Go": "Go language|Go lang|Go programming",
-        "Rust": "Rust lang",
-        "Swift": "Swift iOS",
-        "Kotlin": "Kotlin Android",
-        "MATLAB": "Mat Lab|Matlab Simulink",
-        "AutoCAD": "Auto CAD",
-        "SolidWorks": "Solid Works",
-        "Photoshop": "Photo shop|Adobe Photo shop",
-        "Illustrator": "Adobe Illustr.|Adobe Illustr",
-        "Linux": "GNU/Linux|Linux admin|Linux server",
-        "Windows Server": "MS Windows Server|Win Server",
-        "PowerShell": "Power Shell",
-        "Bash": "bash scripting|shell bash",
-        "Jira": "Atlassian Jira|JIRA Software",
-        "Confluence": "Atlassian Confluence",
-        "Scrum": "SCRUM methodology|Scrum master",
-        "Machine learning": "machine-learning models|maschinelles Lernen|strojové učenie",
-        "TensorFlow": "Tensor Flow",
-        "PyTorch": "Py Torch",
-        "Project management": "project mgmt|řízení projektů|projektový management|riadenie projektov",
-        "Accounting": "podvojné účetnictví|bookkeeping|účtovníctvo|účetní",
-        "Payroll": "mzdová agenda|mzdové účetnictví|Lohnbuchhaltung|payroll processing",
-        "Controlling": "finanční controlling|financial controlling",
-        "Welding": "svařování TIG|TIG welding|MIG welding|zváranie|svářeč",
-        "Forklift operation": "řidič VZV|VZV|forklift licence holder|forklift licence|forklift driver|forklift|vysokozdvižné vozíky|Gabelstapler|Staplerschein",
-        "CNC machining": "CNC stroje|CNC obrábění|CNC programming|CNC|programování CNC|CNC operator",
-        "Customer service": "customer care|customer support|péče o zákazníky|Kundenservice|Kundendienst|zákaznícky servis",
-        "Recruitment": "recruiting|nábor zaměstnanců|Personalbeschaffung|talent acquisition|náborář",
-        "Negotiation": "negotiation skills|negotiating|Verhandlung|Verhandlungsführung|vyjednávanie",
+        "Python": "Py|PySpark developer",
+        "JavaScript": "ECMAScript",
+        "PostgreSQL": "PgSQL",
+        "Apache Spark": "PySpark",
+        "Ruby on Rails": "Rails",
+        "Recruitment": "recruiting",
+        "Accounting": "bookkeeping",
+        "Customer service": "customer care|customer support|Kundendienst",
+        "Forklift operation": "VZV|Gabelstapler",
     },
 }
+#: Makers whose name may stand before a product's or be left out.
+MAKERS = {"microsoft": "ms", "apache": "", "adobe": "", "amazon": "", "google": "", "oracle": "", "atlassian": "", "hashicorp": "", "gnu": ""}
+#: Last words of an entry's name that may be left out.
+TAILS = ("database", "db", "operation", "machining")
+#: The languages whose CLDR names of languages are forms.
+NAMED_IN = ("en", "cs", "de", "fr", "es", "pl", "sk", "uk")
 # Words that stand beside a value without changing what it means, folded.
 BESIDE = {
-    "lang": "language jazyk sprache jezyk active passive spoken written daily use business basic fluent aktivne pasivne slovem",
+    "lang": "language jazyk sprache jezyk active passive spoken written daily use business basic fluent british american",
     "level": "level uroven niveau cca self assessed circa about approx stupen",
     "edu": "degree stupen title titul dokonceno completed studies vzdelani education level diploma",
-    "skill": "language lang developer development programming skills skill admin administration cluster queries cache streams containers playbooks design framework software scripting desktop platform apps app models database databases db methodology basics advanced years year roky roku let daily use certified expert user library tools scripts pipelines dashboards",
+    "skill": "language lang developer development programming skills skill admin administration cluster queries dotazy cache streams containers playbooks design framework software scripting desktop platform apps app models database databases db methodology basics advanced years year roky roku let daily use certified expert user library tools scripts pipelines dashboards cloud ansi jazyk microsoft ms adobe apache atlassian hashicorp gnu",
 }
 _AROUND = [
     re.compile(p)
@@ -226,11 +138,18 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
-def derived(kind: str, label: str | None, label_cs: str | None, label_de: str | None) -> list[str]:
-    """Regular derivations of an entry's names: Czech adverbs and adjectives, 'language' beside a language."""
+def derived(kind: str, label: str | None, label_cs: str | None, label_de: str | None, aliases: list[str] | None = None, cldr: list[str] | None = None) -> list[str]:
+    """Regular derivations of an entry's names.
+
+    Languages: CLDR's names, Czech adverbs and adjectives, 'language' beside the name, the school's initial and J (jazyk).
+    All: initials of names of several words, of words with inner capitals, makers left out or shortened, signs spelled
+    out, last words that may be left out.
+    """
     out = []
+    names = [n for n in (label, label_cs, label_de, *(aliases or ())) if n]
     if kind == "lang":
         if label_cs:
+            out.append(label_cs[0].upper() + "J")
             for end, to in (("němčina", "německ"), ("čeština", "česk"), ("čtina", "ck"), ("ština", "sk"), ("čina", "ck")):
                 if label_cs.endswith(end):
                     stem = label_cs[: -len(end)] + to
@@ -240,16 +159,41 @@ def derived(kind: str, label: str | None, label_cs: str | None, label_de: str |
             out += [f"{label} language", f"language {label}"]
         if label_de:
             out += [f"{label_de}e Sprache"]
+        for n in cldr or ():
+            out += [n, f"język {n}", f"{n} language"]
+        return out
+    for n in names:
+        words = n.split()
+        if len(words) > 1:
+            initials = "".join([w[0] for w in words if w[0].isalpha() and w.lower() not in ("of", "on", "in", "and")])
+            if len(initials) >= (2 if kind == "edu" else 3):
+                out.append(initials)
+            if kind == "skill" and words[0].lower() in MAKERS:
+                rest = " ".join(words[1:])
+                out += [rest] * (rest.lower() not in BESIDE["skill"].split()) + [f"{MAKERS[words[0].lower()]} {rest}"] * bool(MAKERS[words[0].lower()])
+            if kind == "skill" and words[-1].lower() in TAILS:
+                out.append(" ".join(words[:-1]))
+        if kind == "skill":
+            short = [w if len(re.findall("[A-Z]", w)) < 2 or w.isupper() else "".join(re.findall("[A-Z]", w)) for w in words]
+            if short != words and len("".join(short)) > 3:
+                out.append(" ".join(short))
+            if n[-1:] in "+#":
+                out.append(n.replace("+", " plus").replace("#", " sharp"))
+            if len(n) <= 5:  # too short for edits in it, so it is met with a word beside it
+                out += [f"language {n}", f"jazyk {n}", f"ANSI {n}", *[f"{n} {w}" for w in ("language", "lang", "programming", "developer", "queries", "dotazy", "cache")]]
     return out
 
 
 class Matcher:
-    """The symmetric-delete dictionaries of every kind of entry."""
+    """The symmetric-delete dictionaries of every kind of entry: of whole forms, and of the words of forms."""
 
-    def __init__(self, entries: list[tuple[str, str, str | None, str | None, str | None, list[str] | None]]):
-        """entries: (ref_id, ref_kind, label, label_cs, label_de, aliases)."""
+    def __init__(self, entries: list[tuple[str, str, str | None, str | None, str | None, list[str] | None]], cldr: dict[str, list[str]] | None = None, synonyms: dict[str, dict[str, str]] | None = None):
+        """entries: (ref_id, ref_kind, label, label_cs, label_de, aliases); cldr: for a label its further names."""
         self.exact: dict[tuple[str, str], str] = {}
         self.index: dict[tuple[str, str], set[tuple[str, str]]] = {}
+        self.words: dict[tuple[str, str], set[str]] = {}  # deletion -> words of forms
+        self.stems: dict[tuple[str, str], set[str]] = {}  # first three letters -> words of forms
+        self.forms: dict[tuple[str, str], set[tuple[tuple[str, ...], str]]] = {}  # word -> forms as words
         self.frequency: dict[str, int] = {}
         self.beside = {k: set(v.split()) for k, v in BESIDE.items()}
         ranked: list[tuple[int, str, str, str]] = []
@@ -257,8 +201,8 @@ class Matcher:
             if not ref_id or not kind:
                 continue
             names = [(0, n) for n in (label, cs, de, *(aliases or ())) if n]
-            names += [(1, n) for n in derived(kind, label, cs, de)]
-            names += [(1, n) for n in MORE.get(kind, {}).get(label or "", "").split("|") if n]
+            names += [(1, n) for n in (SYNONYMS if synonyms is None else synonyms).get(kind, {}).get(label or "", "").split("|") if n]
+            names += [(2, n) for n in derived(kind, label, cs, de, aliases, (cldr or {}).get(label or ""))]
             ranked += [(rank, kind, n, ref_id) for rank, n in names]
         for _, kind, name, ref_id in sorted(ranked, key=lambda r: r[0]):
             f = fold(name).strip(" .,;:")
@@ -268,10 +212,15 @@ class Matcher:
                 if self.exact.setdefault((kind, form), ref_id) == ref_id and len(form) >= 4:
                     for d in deletions(form, 2 if len(form) >= 7 else 1):
                         self.index.setdefault((kind, d), set()).add((form, ref_id))
-        self.memo: dict[tuple[str, str], str] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+            if kind == "lang" or self.exact.get((kind, f)) != ref_id:
+                continue
+            tokens = tuple(w for w in re.split(r"[\s\-/]+", f) if len(w) > 1 and w not in self.beside[kind]) if kind in self.beside else ()
+            for w in tokens if any(len(t) >= 3 for t in tokens) else ():
+                self.forms.setdefault((kind, w), set()).add((tokens, ref_id))
+                self.stems.setdefault((kind, w[:3]), set()).add(w)
+                if len(w) >= 4:
+                    for d in deletions(w, 1):
+                        self.words.setdefault((kind, d), set()).add(w)
 
     def near(self, kind: str, form: str) -> tuple[float, str] | None:
         """(distance, ref_id) of the best form within the bound."""
@@ -295,16 +244,15 @@ class Matcher:
 
     def match(self, kind: str, value: str) -> str | None:
         """The ref_id that a value means, NONE if it means none of the entries, None for a blank one."""
-        key = (kind, value)
-        if (got := self.memo.get(key)) is not None:
-            return got
         folded = fold(value)
         if not folded:
             return None
-        if len(self.memo) > CACHE_VALUES:
-            self.memo.clear()
-        got = self.memo[key] = self._match(kind, folded) or NONE
-        return got
+        return self._match(kind, folded) or NONE
+
+    def exactly(self, kind: str, value: str) -> str | None:
+        """The ref_id of which the folded value is a form, None for any other."""
+        f = fold(value).strip(" .,;:")
+        return self.exact.get((kind, f)) or self.exact.get((kind, squeeze(f)))
 
     def _match(self, kind: str, folded: str) -> str | None:
         tries = [folded.strip(" .,;:")] if folded.strip(" .,;:") else []
@@ -316,6 +264,8 @@ class Matcher:
         bare = _VERSION.sub("", t).strip(" .,;:")
         if bare and bare != t:
             tries.append(bare)
+        if kind == "skill":
+            tries += [x[:-2].rstrip(" .") for x in tries if x.endswith("js") and len(x) > 5]
         tries = list(dict.fromkeys(x for x in tries if x))
         for x in tries:  # exact before near
             for form in (x, squeeze(x)):
@@ -323,6 +273,9 @@ class Matcher:
                     return got
         if kind == "level" and (m := re.search(r"(?<![a-z0-9])([abc][12])(?![a-z0-9])", folded)) and (got := self.exact.get((kind, m.group(1)))):
             return got
+        for x in tries:
+            if len(x) >= 4 and f"{x}." in folded and (got := self._abbreviated(kind, x)):
+                return got
         best: tuple[float, str] | None = None
         for x in tries:
             for form in dict.fromkeys((x, squeeze(x))):
@@ -330,7 +283,12 @@ class Matcher:
                     best = n
         if best:
             return best[1]
-        return self._inside(kind, tries[-1]) if tries else None
+        return (self._inside(kind, tries[-1]) or self._aligned(kind, tries[-1]) or self._joined(kind, squeeze(tries[-1]))) if tries else None
+
+    def _abbreviated(self, kind: str, text: str) -> str | None:
+        """The one entry of which a form begins with the text."""
+        found = {ref for (k, form), ref in self.exact.items() if k == kind and form.startswith(text)}
+        return found.pop() if len(found) == 1 else None
 
     def _inside(self, kind: str, text: str) -> str | None:
         """An entry's form among the words of a longer value, the rest being words that may stand beside it."""
@@ -357,13 +315,83 @@ class Matcher:
     def _beside_near(self, kind: str, word: str) -> bool:
         return len(word) >= 5 and any(abs(len(b) - len(word)) <= 1 and distance(word, b, 1.3) <= 1.3 for b in self.beside[kind] if len(b) >= 5)
 
+    def stems_of(self, kind: str) -> list[str]:
+        return [w for (k, w) in self.forms if k == kind]
+
+    def _tokens(self, kind: str, word: str) -> dict[str, float]:
+        """Words of forms that a word stands for, with the letters they share: itself, of the same stem, an abbreviation that
+        begins or skeletonises it, or one within the bound."""
+        out: dict[str, float] = {}
+        if (kind, word) in self.forms:
+            out[word] = len(word)
+            return out
+        for w in self.stems.get((kind, word[:3]), ()):
+            common = next((i for i, (x, y) in enumerate(zip(word, w)) if x != y), min(len(word), len(w)))
+            if common >= 4 and common >= 0.6 * max(len(word), len(w)):
+                out[w] = common
+            elif 3 <= common == len(word) < len(w):
+                out[w] = -common  # an abbreviation, which needs another word of the form beside it
+        if len(word) >= 4 and not set(word) & set("aeiouy"):
+            for w in self.stems_of(kind):
+                if w[0] == word[0] and w[-1] == word[-1] and len(w) > len(word) and all(c in it for it in [iter(w)] for c in word):
+                    out[w] = -len(word)
+        if len(word) >= 5:
+            for d in deletions(word, 1):
+                for w in self.words.get((kind, d), ()):
+                    far = distance(word, w, bound(min(len(word), len(w))))
+                    if 7 <= len(w) < len(word) <= len(w) + 3:  # an edit before an inflected ending
+                        far = min(far, distance(word[: len(w)], w, bound(len(w))))
+                    if w not in out and far < 9:
+                        out[w] = len(w) - 2 * far
+        return out
+
+    def _aligned(self, kind: str, text: str) -> str | None:
+        """The entry of which a form has all its words among the value's, in whatever order and inflection; of several
+        entries that with the most letters, none where two have as many."""
+        if kind not in self.beside or kind == "lang":
+            return None
+        met: dict[str, float] = {}
+        for word in re.split(r"[\s/\-,;:()]+", text):
+            if len(word) >= 2:
+                for w, letters in self._tokens(kind, word).items():
+                    met[w] = max(met.get(w, 0), letters, key=abs)
+        best: dict[str, float] = {}
+        for w in met:
+            for tokens, ref in self.forms.get((kind, w), ()):
+                if all(t in met for t in tokens) and any(met[t] > 0 for t in tokens) and (score := sum(abs(met[t]) for t in tokens)) >= 3:
+                    best[ref] = max(best.get(ref, 0), score)
+        top = max(best.values(), default=0)
+        found = [r for r, v in best.items() if v == top]
+        return found[0] if len(found) == 1 else None
+
+    def _joined(self, kind: str, squeezed: str) -> str | None:
+        """An entry's form of six letters or more at the beginning or the end of a value written without spaces."""
+        for size in range(len(squeezed) - 1, 5, -1) if kind != "lang" else ():
+            for part in (squeezed[:size], squeezed[-size:]):
+                if (got := self.exact.get((kind, part))) is not None:
+                    return got
+        return None
+
+
+def cldr_names(spark: SparkSession, labels: list[str]) -> dict[str, list[str]]:
+    """For each English name of a language its names in ``NAMED_IN`` and in itself, by the Java runtime's CLDR data."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    english = locale("en")
+    codes: dict[str, list[str]] = {}
+    for code in locale.getISOLanguages():
+        name = locale(code).getDisplayLanguage(english)
+        for label in labels:
+            if name == label or name.startswith(f"{label} "):
+                codes.setdefault(label, []).append(code)
+    return {label: sorted({locale(c).getDisplayLanguage(locale(n)) for c in found for n in (*NAMED_IN, c)}) for label, found in codes.items()}
+
 
 def matcher(reference: DataFrame) -> Matcher:
     """The dictionaries of a reference list, whose size is checked before it is collected and broadcast."""
     rows = reference.select("ref_id", "ref_kind", "label", "label_cs", "label_de", "aliases").limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    return Matcher([tuple(r) for r in rows])
+    return Matcher([tuple(r) for r in rows], cldr_names(reference.sparkSession, [r.label for r in rows if r.ref_kind == "lang" and r.label]))
 
 
 #: (src, table, value column, kind of entry)
@@ -378,11 +406,26 @@ def _values(tables: dict[str, DataFrame]) -> DataFrame:
     return whole
 
 
-def with_frequency(m: Matcher, values: DataFrame) -> Matcher:
-    """Count for each entry how many values are typed exactly as one of its forms (at most one count per entry)."""
-    spark = values.sparkSession
-    forms = spark.createDataFrame([(k, f, r) for (k, f), r in m.exact.items()] or [("", "", "")], "kind string, form string, ref_id string")
-    counted = values.groupBy("kind", F.lower(F.trim("value")).alias("form")).count().join(F.broadcast(forms), ["kind", "form"]).groupBy("ref_id").agg(F.sum("count").alias("n"))
+def _python(values: DataFrame, of, out: str) -> DataFrame:
+    """(kind, value, ``out``) of the distinct values by a function of (kind, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [of(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.string())], ["kind", "value", "n", out])
+
+    return values.select("kind", "value", "n").mapInArrow(run, f"kind string, value string, n bigint, {out} string")
+
+
+def distinct_values(values: DataFrame) -> DataFrame:
+    """(kind, value, n): each value typed once, with how many rows have it; counted before the shuffle, cut, then read twice."""
+    counted = values.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return cut(counted.repartition(slots(values.sparkSession) * 2, "kind", "value"))
+
+
+def with_frequency(m: Matcher, exact: DataFrame) -> Matcher:
+    """Count for each entry how many rows (n) are typed exactly as one of its forms, folded as in matching."""
+    counted = exact.where("ref_id IS NOT NULL").groupBy("ref_id").agg(F.sum("n").alias("n"))
     m.frequency = {r.ref_id: int(r.n) for r in counted.collect()}
     return m
 
@@ -391,19 +434,32 @@ def mapped(tables: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
     """(src, row_id, value, ref_id) of every non-blank value; ref_id is 'none' where it means none of the entries.
 
     Null and blank values and rows without an id have no row; repeated rows come once; an empty reference list maps all
-    to 'none'; empty tables give an empty result. Rows are looked up where they lie, without a shuffle.
+    to 'none'; empty tables give an empty result. Only distinct values are matched. The map is joined back by broadcast
+    if it has at most ``BROADCAST_VALUES`` values of at most ``BROADCAST_CHARS`` characters together; a larger one by a
+    shuffle in which values of more than ``HOT_ROWS`` rows are spread over as many salts as they need.
     """
     values = _values(tables)
-    shared = values.sparkSession.sparkContext.broadcast(with_frequency(matcher(reference), values))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            got = [m.match(k, v) for k, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            kept = pa.array([g is not None for g in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(got, pa.string())], ["src", "row_id", "value", "ref_id"]).filter(kept)
-
-    return spread(values).mapInArrow(run, "src string, row_id bigint, value string, ref_id string").dropDuplicates(["src", "row_id"])
+    distinct = distinct_values(values)
+    sc = values.sparkSession.sparkContext
+    plain = sc.broadcast(m := matcher(reference))
+    shared = sc.broadcast(with_frequency(m, _python(distinct, lambda k, v: plain.value.exactly(k, v), "ref_id")))
+    found = cut(_python(distinct, lambda k, v: shared.value.match(k, v), "ref_id").where("ref_id IS NOT NULL"))
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")).first()
+    return joined_back(values, found, size.n <= BROADCAST_VALUES and size.chars <= BROADCAST_CHARS)
+
+
+def joined_back(values: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """The rows of ``values`` with what ``found`` (kind, value, n, ref_id) has for their value."""
+    if small:
+        rows = values.join(F.broadcast(found.drop("n")), ["kind", "value"])
+    else:
+        salts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+        hot = found.where(F.col("n") > HOT_ROWS).select("kind", "value", salts.alias("salts"))
+        each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+        # Fewer than rows / HOT_ROWS values are hot, but that bound grows with the data, so the planner decides how to join.
+        salted = values.join(hot, ["kind", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("src", "row_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+        rows = salted.join(each, ["kind", "value", "salt"])
+    return rows.select("src", "row_id", "value", "ref_id").dropDuplicates(["src", "row_id"])
 
 
 def misses(found: DataFrame) -> DataFrame:

@@ -39,6 +39,38 @@ def test_mapped_table(spark, sf):
     assert {r.ref_id for r in canon.mapped({"q_skills": q}, ref.limit(0)).collect()} == {"none"}
 
 
+def test_both_joins_agree(spark, monkeypatch):
+    """The map of a hot value is salted where it is too large to be broadcast; no row is lost or repeated."""
+    values = spark.createDataFrame([("skill_name", i, "skill", "Python" if i % 3 else f"v{i}") for i in range(300)], "src string, row_id bigint, kind string, value string")
+    found = canon.distinct_values(values).withColumn("ref_id", canon.F.concat(canon.F.lit("r-"), "value"))
+    monkeypatch.setattr(canon, "HOT_ROWS", 7)
+    small, large = (sorted(map(tuple, canon.joined_back(values, found, s).collect())) for s in (True, False))
+    assert small == large and len(small) == 300
+
+
+def test_frequency_counts_folded_forms(spark, sf):
+    m = canon.matcher(table(spark, sf, "ref_values"))
+    assert m.exactly("lang", "NĚMČINA ") == "lang-de" and m.exactly("lang", "nemcina") == "lang-de"
+    exact = spark.createDataFrame([("lang", "němčina", 3, "lang-de"), ("lang", "nemcina", 2, "lang-de"), ("lang", "x", 9, None)], "kind string, value string, n bigint, ref_id string")
+    assert canon.with_frequency(m, exact).frequency == {"lang-de": 5}
+
+
+@pytest.mark.parametrize(
+    "kind,value,want",
+    [
+        ("lang", "NJ", "lang-de"), ("lang", "ungarisch", "lang-hu"), ("lang", "słowacki", "lang-sk"), ("lang", "日本語", "lang-ja"), ("lang", "Norwegian Bokmål", "lang-no"), ("lang", "Klingon", "none"),
+        ("skill", "c plus plus", "skill-cpp"), ("skill", "GH Actions", "skill-github_actions"), ("skill", "SQL Server", "skill-microsoft_sql_server"), ("skill", "Oracle 12c", "skill-oracle_database"),
+        ("skill", "Win Server", "skill-windows_server"), ("skill", "project mgmt", "skill-project_management"), ("skill", "AWS cloud", "skill-amazon_web_services"), ("skill", "AngularJS", "skill-angular"),
+        ("level", "absolute beginner", "level-a1"), ("level", "základní znalosti", "level-a2"), ("level", "not tested", "none"),
+        ("edu", "Bachelor of Laws", "edu-bachelor"), ("edu", "SŠ", "edu-secondary"), ("edu", "evening course", "edu-course"), ("edu", "university of life", "none"),
+    ],
+)
+def test_rules(spark, sf, kind, value, want):
+    """Derivations by rule, none of which the reference list or the table of synonyms gives."""
+    test_rules.matcher = m = getattr(test_rules, "matcher", None) or canon.matcher(table(spark, sf, "ref_values"))
+    assert m.match(kind, value) == want
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return langid.train(table(spark, "/root/testdata/sf0.01", "documents"))
