@@ -66,6 +66,11 @@ def p9_judged(spark: SparkSession, sf: str) -> DataFrame:
     return residue.judged(table(spark, sf, "documents"))
 
 
+def p9_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without those that p9_found names."""
+    return residue.cleaned(table(spark, sf, "documents"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"))
 
@@ -79,5 +84,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p8_packed(spark, sf))
 
 
-QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_labelled": p4_labelled, "p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_unified": p5_unified, "p9_found": p9_found, "p9_judged": p9_judged, "p9_cleaned": p9_cleaned, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_report": p8_report}
 SQL: dict[str, str] = {}

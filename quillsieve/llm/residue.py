@@ -2,8 +2,9 @@
 
 One multi-pattern automaton over the folded text finds the phrases of error pages, script notices and filler in eight
 languages, the words of dummy Latin, and the openers of unfilled placeholders. Message phrases count by their coverage:
-a text is a message when the sentences with such a phrase make up most of it. Filler and placeholders count where they
-stand in place of content; an exact look at the place follows the automaton.
+a text is a message when the sentences with such a phrase make up most of it. Filler counts by its coverage of a
+sentence, and a placeholder by its place: one that stands where content belongs leaves the document unfinished, however
+long it is; one beside a word for templates, code and the like is a mention. An exact look follows the automaton.
 """
 
 from __future__ import annotations
@@ -89,8 +90,17 @@ FIELDS = (
     "imie nazwisko imie_nazwisko stanowisko miasto pensja wpisz wpisac uzupełnij uzupelnij data "
     "імя прізвище посада компанія дата місто зарплата вкажіть впишіть your insert enter placeholder xxx tbd tbc todo"
 ).split()
-# A sentence with one of these speaks about templates or code, folded.
-MENTION = re.compile(r"\b(templates?|mail merge|placeholders? (?:are|is|were|was)|filled in|sablon\w*|vorlagen?|plantillas?|modeles?|szablon\w*|шаблон\w*|curly braces|shell scripts?|bug that|code review|checklist|mock-?ups?|skripty a|v navrzich)\b")
+# Words, folded, for things that hold placeholders and filler rightly: templates, layouts, code and its faults.
+ABOUT = re.compile(
+    r"(?:templates?|placeholders?|mail merges?|mock-?ups?|wireframes?|layouts?|scripts?|bugs?|code|syntax|variables?|brackets?|braces|printed|rendered"
+    r"|sablon\w*|skript\w*|navrh\w*|navrz\w*|kod(?:u|em)?|chyb(?:a|u|y)|promenn\w*|zavork\w*|premenn\w*|zatvork\w*"
+    r"|vorlagen?|platzhaltern?|skripten?|fehler|klammern?|entwurfen?|plantillas?|marcador(?:es)?|codigo|modeles?|gabarits?|accolades?|maquettes?"
+    r"|szablon\w*|skrypt\w*|blad|kodu|zmienn\w*|nawias\w*|шаблон\w*|скрипт\w*|макет\w*|дужк\w*|змінн\w*)(?!\w)"
+)
+#: Words before and after a place among which one of those makes it a mention.
+NEAR = 4
+#: Share of a sentence's letters and digits that filler phrases must make up for it to be filler.
+FILLER_SHARE = 0.3
 _ENVIRONMENT = {"HOME", "PATH", "USER", "PWD", "SHELL", "LANG", "TMPDIR", "JAVA_HOME"}
 
 _ID = r"[^\W\d_][\w]*(?:[.\- ][\w]+){0,3}"
@@ -104,6 +114,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|<[^<>]{1,200}>")
 _SPACE = re.compile(r"[^\S\n]+")
 _COUNTED = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W\d_]+")
+_NEAR_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
 def fold(text: str) -> str:
@@ -130,7 +141,7 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-_LATIN_START = {w[:4] for w in LATIN if len(w) >= 4} | {"dola", "nisu", "site", "sedu", "veni", "quis", "amet"}
+_LATIN_START = {w[:4] for w in LATIN if len(w) >= 4}
 #: Message phrases that ordinary sentences also hold count only in short sentences.
 _SHORT_ONLY = {"not found", "forbidden", "gone", "request id", ", line ", "nicht erreichbar", "не вдалося", "не знайдено", "nie znaleziono", "nepodarilo se", "nepodarilo sa", "nie udalo sie", "sa nenasla", "est introuvable", "the requested page"}
 
@@ -183,11 +194,8 @@ def placeholders(text: str) -> list[str]:
                     continue
                 elif not _field_like(inside):
                     continue
-            start = max(text.rfind("\n", 0, m.start()), *(text.rfind(x, 0, m.start()) for x in (". ", "! ", "? "))) + 1
-            ends = [e for e in (text.find("\n", m.end()), *(text.find(x, m.end()) for x in (". ", "! ", "? "))) if e >= 0]
-            if MENTION.search(fold(text[start : min(ends, default=len(text))])):
-                continue
-            found.append(m.group(0))
+            if not _mentioned(text, m.start(), m.end()):
+                found.append(m.group(0))
     return found
 
 
@@ -237,21 +245,47 @@ def judge(text: str | None) -> tuple[str | None, float]:
         share = covered / total if total else 0.0
         if share >= MESSAGE_SHARE:
             return max(kinds, key=lambda k: (kinds[k], k)), share
-    if "filler" in hits and any(not MENTION.search(_sentence_of(padded, e)) for e, _ in hits["filler"]):
-        return "filler", share
+    if "filler" in hits and any(_is_filler(padded, places) for places in _by_sentence(padded, hits["filler"])):
+        return "filler", max(share, sum(len(p) for _, p in hits["filler"]) / len(padded))
     if len(hits.get("latin", ())) >= 4 and _latin_run(folded):
-        return "filler", share
+        return "filler", max(share, min(1.0, 5 * len(hits["latin"]) / len(padded)))
     if (m := _REPEATED.search(text)) and not m.group(1).isdigit():
-        return "filler", share
-    if "open" in hits and placeholders(text):
-        return "placeholder", share
+        return "filler", max(share, len(m.group(0)) / len(text))
+    if "open" in hits and (found := placeholders(text)):
+        return "placeholder", max(share, sum(map(len, found)) / len(text))
     return kind, share
 
 
-def _sentence_of(text: str, at: int) -> str:
-    start = max(text.rfind("\n", 0, at), text.rfind(". ", 0, at)) + 1
+def _mentioned(text: str, start: int, end: int) -> bool:
+    """Whether one of the few words around a place, in its sentence, names a thing that holds placeholders rightly."""
+    first = max(text.rfind("\n", 0, start), *(text.rfind(x, 0, start) for x in (". ", "! ", "? "))) + 1
+    ends = [e for e in (text.find("\n", end), *(text.find(x, end) for x in (". ", "! ", "? "))) if e >= 0]
+    before = _NEAR_WORD.findall(fold(text[max(first, start - 120) : start]))[-NEAR:]
+    after = _NEAR_WORD.findall(fold(text[end : min(*ends, end + 120, len(text))]))[:NEAR]
+    return any(ABOUT.fullmatch(w) for w in (*before, *after)) or ABOUT.search(" ".join(before[-2:])) is not None
+
+
+def _bounds_of(text: str, at: int) -> tuple[int, int]:
+    """Where the sentence or line around a place begins and ends."""
     ends = [e for e in (text.find("\n", at), text.find(". ", at)) if e >= 0]
-    return text[start : min(ends, default=len(text))]
+    return max(text.rfind("\n", 0, at), text.rfind(". ", 0, at)) + 1, min(ends, default=len(text))
+
+
+def _by_sentence(text: str, hits: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    groups: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    for end, phrase in hits:
+        groups.setdefault(_bounds_of(text, end), []).append((end, phrase))
+    return list(groups.values())
+
+
+def _is_filler(text: str, hits: list[tuple[int, str]]) -> bool:
+    """Whether a sentence's filler phrases make up enough of it; a mention of such things is none."""
+    a, b = _bounds_of(text, hits[0][0])
+    covered = set()
+    for end, phrase in hits:
+        covered.update(range(end - len(phrase) + 1, end + 1))
+    size = len(_COUNTED.findall(text[a:b]))
+    return sum(1 for i in covered if text[i].isalnum()) >= FILLER_SHARE * size and not all(_mentioned(text, e - len(p) + 1, e + 1) for e, p in hits)
 
 
 def judged(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -120,3 +120,20 @@ def test_no_streets(lex, text):
 
 def test_email_beside_a_street_word(lex):
     assert items(lex, "see row nora (at) posta (dot) example") == [("email", "nora (at) posta (dot) example")]
+
+
+def test_place_decides_placeholders_and_coverage_filler():
+    """Words for templates and code near a place make it a mention; other wording doesn't."""
+    long = "Together with a team of two people we moved the portal to another database in time. " * 100
+    for text in ("Our checklist for {{candidate_name}} is ready.", "We reviewed it: Dear {{ first_name }}, welcome.", long + "Signature: ________ " + long, "The bugs are fixed and the whole team looks forward to meeting {{candidate_name}} soon."):
+        assert residue.judge(text)[0] == "placeholder" and residue.judge(text)[1] > 0
+    for text in ("I wrote templates in which {{ first_name }} is replaced.", "He fixed a bug that printed [object Object] in reports.", "Ich pflegte Vorlagen, in denen {{anrede}} ersetzt wird.", "Šablony, kde se {{jmeno}} doplňuje."):
+        assert residue.judge(text)[0] is None
+    assert residue.judge("Sample text goes here.")[0] == "filler"
+    assert residue.judge("Last week the designers replaced the sample text goes here of the page header in every mock-up before the launch party.")[0] is None
+
+
+def test_cleaned(spark):
+    docs = spark.createDataFrame([(1, "Dear {{name}}, welcome.", "a"), (1, "Dear {{name}}, welcome.", "a"), (2, "Real text.", "b"), (None, "Real text.", "c"), (3, None, "d")], "doc_id bigint, text string, kind string")
+    assert sorted(str(r.doc_id) for r in residue.cleaned(docs).collect()) == ["2", "3", "None"]
+    assert residue.cleaned(docs.limit(0)).columns == ["doc_id", "text", "kind"]
