@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -39,8 +40,9 @@ def slots(spark: SparkSession) -> int:
 def spread(df: DataFrame, *keys: str, waves: int = 3) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks.
 
-    A scan that already has two tasks per slot is left alone, so a large input is never shuffled for this; a small one,
-    read from one or two files, is hash-partitioned by ``keys`` (round robin without keys).
+    A scan that already has four tasks for three slots is left alone, so a large input is never shuffled for this; a small
+    one, read from one or two files, is hash-partitioned by ``keys`` (round robin without keys). Only the number of tasks
+    depends on the size, never a result.
     """
     spark = df.sparkSession
     wanted = slots(spark) * waves
@@ -50,10 +52,14 @@ def spread(df: DataFrame, *keys: str, waves: int = 3) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for lineage cuts: ``spark.checkpoint.dir`` of the session, or a local one where none is set (tests)."""
+    """The folder for lineage cuts: ``spark.checkpoint.dir`` of the session. Where it is unset, a temporary one if the
+    whole application runs on this machine (tests); on a cluster that raises, since executors can't share such a folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillsieve-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillsieve-"))
     return sc.getCheckpointDir()
 
 
@@ -63,6 +69,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, by: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row per ``keys`` and in ``n`` how many rows will meet it.
+
+    A key of more than ``hot_rows`` rows is spread by a hash of ``by`` over as many salts as it needs, so no task gets an
+    unbounded group; its one row of ``counted`` is repeated as often.
+    """
+    salts = F.greatest(F.ceil(F.col(n) / hot_rows), F.lit(1)).cast("int")
+    hot = counted.where(F.col(n) > hot_rows).select(*keys, salts.alias("__salts"))
+    each = counted.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    # Fewer than rows / hot_rows keys are hot; that bound grows with the data, so the planner decides how to join.
+    salted = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), F.coalesce("__salts", F.lit(1))).cast("int"))
+    return salted.join(each, [*keys, "__salt"]).drop("__salt", "__salts")
+
+
 def newest(df: DataFrame, key: str, at: str = "ingested_at") -> DataFrame:
     """One row per ``key``: of redelivered rows the one ingested last; rows without a key are kept out.
 

@@ -1,23 +1,24 @@
 """Flat tables from deeply nested answers, by Merkle subtree identities.
 
 Every object and list of an answer is canonicalised and hashed from the leaves up, so equal subtrees have equal
-identities wherever they stand. ``objects`` holds each distinct subtree once, its nested subtrees replaced by their
-identities; ``bridge`` holds every occurrence: which node of which document of which extraction is the ``ord``-th child
-under which field of which parent.
+identities wherever they stand; a document is the root of its tree, with all its members. ``objects`` holds each distinct
+subtree once, its nested subtrees replaced by their identities; ``bridge`` holds every occurrence: which node of which
+document of which extraction is the ``ord``-th child under which field of which parent. The flat tables are the bridge's
+entries joined with the objects.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import spread
+from ..common import join_counted, spread
 
 BLOCKS = ("experience", "skills", "education", "languages", "certifications")
 #: The member that an object of the block must have to count; education objects always count.
@@ -30,17 +31,38 @@ COLUMNS = {
     "languages": ("language", "level", "level_raw"),
     "certifications": ("name", "year"),
 }
-#: Nesting beyond this makes an answer unreadable.
+#: Subtrees nested deeper than this stay whole, as one leaf {"$json": text}.
 DEEPEST = 200
+#: Hexadecimal digits of an identity, the beginning of a SHA-256.
+DIGITS = 40
 
 _FENCE = re.compile(r"^\s*```[A-Za-z]*\s*\n?(.*?)\n?\s*```\s*$", re.S)
+_OPEN = re.compile(r"[{\[]")
+_TOKEN = re.compile(r'\\.|["{}\[\]]', re.S)
 _DECODER = json.JSONDecoder(strict=False)
 
 
+def _closing(text: str, at: int) -> int:
+    """Where the bracket at a place is closed, strings skipped; -1 if it isn't."""
+    depth, quoted = 0, False
+    for m in _TOKEN.finditer(text, at):
+        c = m.group(0)
+        if quoted or c == '"':
+            quoted = c != '"' if quoted else True
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+            if depth == 0:
+                return m.start()
+    return -1
+
+
 def salvage(raw: str | None) -> object:
-    """The JSON value in a model's answer: as it is, out of a code fence, or the first complete value after prose.
+    """The JSON value in a model's answer: as it is, out of a code fence, or among prose.
 
-    None for null, blank and unreadable (also cut-off) answers.
+    Of the bracketed pieces of prose that are JSON the first with a qualification counts, else the first at all. None for
+    null, blank and unreadable answers; a piece that isn't closed is a cut-off answer and ends the search.
     """
     if not raw or not raw.strip():
         return None
@@ -49,12 +71,20 @@ def salvage(raw: str | None) -> object:
         return _DECODER.decode(text)
     except (ValueError, RecursionError):
         pass
-    for m in re.finditer(r"[{\[]", text):
+    first, at = None, 0
+    while m := _OPEN.search(text, at):
         try:
-            return _DECODER.raw_decode(text, m.start())[0]
+            value, at = _DECODER.raw_decode(text, m.start())
         except (ValueError, RecursionError):
-            return None
-    return None
+            end = _closing(text, m.start())
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        if any(q is not None for q in qualifications(value)):
+            return value
+        first = value if first is None else first
+    return first
 
 
 def qualifications(value: object, depth: int = 0) -> list[object]:
@@ -100,6 +130,10 @@ def counts(block: str, v: object) -> bool:
     return isinstance(v, dict) and (block not in NEEDED or not blank(v.get(NEEDED[block])))
 
 
+def _identity(body: str) -> str:
+    return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:DIGITS]
+
+
 class Forest:
     """Collects the nodes of one document, bottom-up identities with them."""
 
@@ -110,16 +144,16 @@ class Forest:
         """Adds the subtree and gives its identity."""
         at = len(self.rows)
         self.rows.append(())
-        if depth > DEEPEST:
-            raise RecursionError
-        if isinstance(value, dict):
+        if depth > DEEPEST and isinstance(value, (dict, list)):
+            body = json.dumps({"$json": json.dumps(value, ensure_ascii=False, sort_keys=True)}, ensure_ascii=False)
+        elif isinstance(value, dict):
             parts = [f"{json.dumps(k, ensure_ascii=False)}: {self.part(value[k], at, k, 0, depth)}" for k in sorted(value)]
             body = "{" + ", ".join(parts) + "}"
         elif isinstance(value, list):
             body = "[" + ", ".join([self.part(v, at, field, i, depth) for i, v in enumerate(value)]) + "]"
         else:
             body = _leaf(value)
-        identity = xxhash.xxh3_128_hexdigest(body.encode("utf-8", "surrogatepass"))
+        identity = _identity(body)
         self.rows[at] = (at, parent, field, ord_, identity, body)
         return identity
 
@@ -152,31 +186,34 @@ def shred(raw: str | None) -> list[tuple]:
 
 def _document(q: dict, doc_ord: int) -> list[tuple]:
     forest, out = Forest(), []
-    children: list[tuple[str, str]] = []
-    for block in BLOCKS:
-        if block not in q:
+    members: dict[str, str] = {}
+    for k in sorted(q):
+        block, content = k if k in BLOCKS else None, q[k]
+        if block is None:
+            members[k] = json.dumps(content, ensure_ascii=False, sort_keys=True)
             continue
-        content = q[block]
-        ids = []
+        kept = []
         for i, v in enumerate(content if isinstance(content, list) else [content]):
             if v is None:
+                kept.append("null")
                 continue
             first = len(forest.rows)
-            ids.append(f"{i}:{forest.add(v, -1, block, i)}")
+            kept.append(f'{{"$ref": "{forest.add(v, -1, block, i)}"}}')
             rows = forest.rows[first:]
             identity = {r[0]: r[4] for r in rows}
             out.extend((doc_ord, n, p, block, f, o, p == -1 and counts(block, v), identity.get(p), h, b) for n, p, f, o, h, b in rows)
-        children.append((block, xxhash.xxh3_128_hexdigest("|".join(ids).encode())))
-    root = xxhash.xxh3_128_hexdigest("|".join(f"{b}={h}" for b, h in children).encode())
-    return [(*r[:7], r[7] or root, *r[8:]) for r in out]
+        members[k] = "[" + ", ".join(kept) + "]" if isinstance(content, list) else kept[0]
+    body = "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {v}" for k, v in members.items()) + "}"
+    root = _identity(body)
+    return [(doc_ord, -1, None, None, None, doc_ord, False, None, root, body), *[(*r[:7], r[7] or root, *r[8:]) for r in out]]
 
 
 def occurrences(extractions: DataFrame, key: str = "extraction_id", raw: str = "qualification_json", bodies: bool = True) -> DataFrame:
-    """(key, ``OCCURRENCES``): every node below the five blocks of every document of every answer.
+    """(key, ``OCCURRENCES``): every document of every answer and every node below its five blocks.
 
-    Null, blank and unreadable answers have no rows. A node directly in a block has parent_node -1, its ord is its place
-    in the original list (0 without a list), and parent_id is the identity of its whole document. Nulls in a list keep
-    their place and have no row. Repeated rows give repeated rows; an empty table an empty one.
+    Null, blank and unreadable answers have no rows. A document is node -1, without block, parent and field, its ord its
+    place in the answer. A node directly in a block has parent_node -1, its ord is its place in the original list (0
+    without a list), and parent_id is the identity of its document. Nulls in a list keep their place and have no row. Repeated rows give repeated rows; an empty table an empty one.
     """
     kind = extractions.schema[key].dataType.simpleString()
     names = ["doc_ord", "node", "parent_node", "block", "field", "ord", "is_entry", "parent_id", "object_id"] + ["body"] * bodies
@@ -213,16 +250,19 @@ def entries(extractions: DataFrame) -> DataFrame:
     return occurrences(extractions, bodies=False).where("is_entry").select("extraction_id", "doc_ord", "block", "ord").distinct()
 
 
-def flat(found: DataFrame, block: str) -> DataFrame:
-    """The flat table of one block: extraction_id, doc_ord, ord, object_id and the block's members as strings.
+def flat(bridge: DataFrame, objects: DataFrame, block: str) -> DataFrame:
+    """The flat table of one block: extraction_id, doc_ord, ord, parent_id (the document's identity), object_id and the
+    block's members as strings; the bridge's entries, each with its object, which is parsed once however often it occurs.
 
     A string entry fills the member that names the entry (education: level); members of other types come as their JSON
     text, nested ones as a reference to their identity.
     """
     names = COLUMNS[block]
-    rows = found.where((F.col("block") == block) & F.col("is_entry"))
     is_text = F.col("body").startswith('"')
     plain = F.get_json_object(F.concat(F.lit('{"v": '), F.col("body"), F.lit("}")), "$.v")
     first = NEEDED.get(block, "level")
     parsed = F.from_json("body", ", ".join(f"`{n}` string" for n in names))
-    return rows.select("extraction_id", "doc_ord", "ord", "object_id", *[F.when(is_text, plain if n == first else None).otherwise(parsed[n]).alias(f"{block}_{n}") for n in names])
+    members = objects.select("object_id", "n_occurrences", *[F.when(is_text, plain if n == first else None).otherwise(parsed[n]).alias(f"{block}_{n}") for n in names])
+    rows = bridge.where((F.col("block") == block) & F.col("is_entry")).select("extraction_id", "doc_ord", "ord", "parent_id", "object_id")
+    got = join_counted(rows, members, ["object_id"], "n_occurrences", ["extraction_id", "doc_ord", "ord"])
+    return got.select("extraction_id", "doc_ord", "ord", "parent_id", "object_id", *[f"{block}_{n}" for n in names])

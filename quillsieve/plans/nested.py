@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import cut, table
 from ..operators import nested
 
 
@@ -25,7 +25,8 @@ def p2_bridge(spark: SparkSession, sf: str) -> DataFrame:
 
 def _flat(block: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return nested.flat(nested.occurrences(table(spark, sf, "extractions")), block)
+        found = cut(nested.occurrences(table(spark, sf, "extractions")))
+        return nested.flat(nested.bridge(found), nested.objects(found), block)
 
     return query
 

@@ -18,8 +18,9 @@ def test_wrappings_and_ordinals():
 
 
 def test_unreadable_and_empty():
-    for raw in (None, "", "  ", "no data", "null", "{}", "[]", '{"skills": ["a"', '{"skills": null}', "[" * 5000 + "]" * 5000):
+    for raw in (None, "", "  ", "no data", "null", "{}", "[]", '{"skills": ["a"', "[" * 5000 + "]" * 5000):
         assert n.shred(raw) == []
+    assert [r[1] for r in n.shred('{"skills": null}')] == [-1]  # a document without entries
 
 
 def test_equal_subtrees_have_one_identity():
@@ -57,7 +58,41 @@ def test_tables(spark):
     df = spark.createDataFrame([(1, raw, "k"), (1, raw, "k"), (2, None, None), (None, raw, "z")], "extraction_id bigint, qualification_json string, ord string")
     assert n.entries(df).where("extraction_id = 1").count() == 3
     found = n.occurrences(df)
-    skills = n.flat(found, "skills").where("extraction_id = 1").distinct().orderBy("ord").collect()
+    skills = n.flat(n.bridge(found), n.objects(found), "skills").where("extraction_id = 1").distinct().orderBy("ord").collect()
     assert [(r.ord, r.skills_name, r.skills_level) for r in skills] == [(0, "x", None), (1, "y", "3")]
-    assert n.objects(found).count() == 4
+    assert n.objects(found).count() == 5  # the document, two skills, a nested object, a certification
     assert n.entries(df.limit(0)).count() == 0
+
+
+def test_prose_before_and_after():
+    q = json.dumps({"skills": ["Python"]})
+    for raw in (f"Answer [see below]: {q}", f"Use {{braces}} or [1]: {q} and [2].", f'He said "[" and {{"a": 1}} then {q}', f"{q} (see [3])"):
+        assert entries(raw) == [(0, "skills", 0)], raw
+    for raw in ('{"qualification": {"skills": ["a"]}, bad}', 'x {"documents": [{"qualification": {"skills": ["a"]}}, {"qual', "[see below]", "[" * 3000 + "]" * 2999):
+        assert n.shred(raw) == [], raw
+
+
+def test_document_is_the_root():
+    one, two = n.shred(json.dumps({"skills": ["x"], "years": 1})), n.shred(json.dumps({"years": 2, "skills": ["x"]}))
+    for rows in (one, two):
+        ids = {r[8] for r in rows}
+        assert all(r[7] in ids for r in rows if r[1] != -1) and rows[0][1] == -1 and rows[0][2] is None
+    assert one[0][8] != two[0][8] and one[1][8] == two[1][8]
+    assert json.loads(one[0][9]) == {"skills": [{"$ref": one[1][8]}], "years": 1}
+
+
+def test_deep_nesting_keeps_the_document():
+    deep = cur = {}
+    for _ in range(n.DEEPEST + 50):
+        cur["a"] = {}
+        cur = cur["a"]
+    rows = n.shred(json.dumps({"skills": [{"name": "x", "deep": deep}, "y"]}))
+    assert [(r[3], r[5]) for r in rows if r[6]] == [("skills", 0), ("skills", 1)] and any('"$json"' in r[9] for r in rows)
+
+
+def test_hot_objects_are_salted(spark):
+    from quillsieve.common import join_counted
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(200)], "id bigint, k string")
+    counted = rows.groupBy("k").count()
+    assert sorted(map(tuple, join_counted(rows, counted, ["k"], "count", ["id"], 10).select("id", "count").collect())) == sorted(map(tuple, rows.join(counted, "k").select("id", "count").collect()))
