@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, spread
+from ..common import cut, join_counted, spread
 from .damage import Repairer, repairer_for
 from .glyphs import FOREIGN, INVISIBLE, SIGNS, SPACES, TO_CYRILLIC, compat
 
-#: Salts over which the occurrences of a value are spread for the join back.
-SALTS = 8
+#: The texts of which p1 has cases; hidden texts are none of them.
+DECODED = ("visible_text", "evidence")
 _CONTROLS = [*range(0, 9), 11, 12, *range(14, 32), 127]
 
 
@@ -131,7 +131,7 @@ def candidates(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 
 def classes(values: DataFrame) -> DataFrame:
-    """(value, canonical) of the distinct values (column value) that aren't canonical themselves.
+    """(value, n, canonical) of the distinct values (columns value, n) that aren't canonical themselves.
 
     Values whose look-alike forms are equal under the collation UNICODE are one class. Its canonical member is the
     smallest, by code points, of the look-alike forms; every form counts as a member of its class.
@@ -139,56 +139,66 @@ def classes(values: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([alike(v) for v in b.column(0).to_pylist()], pa.string())], ["value", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([alike(v) for v in b.column(0).to_pylist()], pa.string())], ["value", "n", "form"])
 
-    mapped = values.select("value").mapInArrow(run, "value string, form string")
+    mapped = values.select("value", "n").mapInArrow(run, "value string, n bigint, form string")
     sql = """
-        WITH members AS (SELECT value, form FROM {mapped}),
+        WITH members AS (SELECT value, n, form FROM {mapped}),
              canon AS (SELECT collate(form, 'UNICODE') AS class, min(form) AS canonical FROM members GROUP BY collate(form, 'UNICODE'))
-        SELECT m.value, collate(c.canonical, 'UTF8_BINARY') AS canonical
+        SELECT m.value, m.n, collate(c.canonical, 'UTF8_BINARY') AS canonical
         FROM members m JOIN canon c ON collate(m.form, 'UNICODE') = c.class
         WHERE m.value <> collate(c.canonical, 'UTF8_BINARY')
     """
     return values.sparkSession.sql(sql, mapped=mapped)
 
 
-def variants(sources: list[tuple[str, DataFrame, str, str]], repairer: Repairer | None = None) -> DataFrame:
+def variants(sources: list[tuple[str, DataFrame, str, str]], decoder: Repairer | None = None) -> DataFrame:
     """(src, rec_id, value, canonical): every text's values that aren't the canonical member of their class.
 
-    Texts damaged by a wrong decoding are left out: their characters aren't stand-ins. Repeated rows count once; null
-    and empty texts and rows without an id have none; an empty table gives an empty result.
+    With ``decoder`` the texts of ``DECODED`` that it finds damaged by a wrong decoding are left out: their characters
+    aren't stand-ins. Repeated rows count once; null and empty texts and rows without an id have none; an empty table
+    gives an empty result. Values are counted before they are joined back, and frequent ones spread.
     """
-    spark = sources[0][1].sparkSession
-    model = spark.sparkContext.broadcast(repairer or repairer_for(*((df, key, text) for _, df, key, text in sources)))
-
-    def intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                fine = pa.array([not bad for _, bad, _ in model.value.repair(b.column(2).to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 3)], ["src", "rec_id", "pieces"]).filter(fine)
-
-    kept = cut(spread(candidates(sources)).mapInArrow(intact, "src string, rec_id bigint, pieces array<string>"))
-    each = kept.select("src", "rec_id", F.explode("pieces").alias("value")).distinct()
-    odd = classes(each.select("value").distinct())
-    salted = odd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("src", "rec_id"), F.lit(SALTS)).cast("int"))
-    return each.join(salted, ["value", "salt"]).select("src", "rec_id", "value", "canonical")
+    some = spread(candidates(sources))
+    if decoder is None:
+        some = some.select("src", "rec_id", "pieces")
+    else:
+        model = sources[0][1].sparkSession.sparkContext.broadcast(decoder)
+
+        def intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    b = whole.slice(at, 1000)
+                    asked = [i for i, src in enumerate(b.column(0).to_pylist()) if src in DECODED]
+                    bad = {i for i, (_, damaged, _) in zip(asked, model.value.repair(b.column(2).take(pa.array(asked, pa.int64())).to_pylist())) if damaged}
+                    fine = pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 3)], ["src", "rec_id", "pieces"]).filter(fine)
+
+        some = some.mapInArrow(intact, "src string, rec_id bigint, pieces array<string>")
+    each = cut(some).select("src", "rec_id", F.explode("pieces").alias("value")).distinct()
+    odd = classes(each.groupBy("value").agg(F.count("*").alias("n")))
+    return join_counted(each, odd, ["value"], "n", ["src", "rec_id"]).select("src", "rec_id", "value", "canonical")
 
 
 def sources_of(scans: DataFrame, flags: DataFrame) -> list[tuple[str, DataFrame, str, str]]:
     return [("visible_text", scans, "scan_id", "visible_text"), ("hidden_text", scans, "scan_id", "hidden_text"), ("evidence", flags, "flag_id", "evidence")]
 
 
-def found(scans: DataFrame, flags: DataFrame) -> DataFrame:
-    """(src, rec_id) of every text that isn't in the one form."""
-    return variants(sources_of(scans, flags)).select("src", "rec_id").distinct()
+def found(scans: DataFrame, flags: DataFrame, decoder: Repairer | None = None) -> DataFrame:
+    """(src, rec_id) of every text that isn't in the one form, but for those damaged by a wrong decoding, under the model
+    that p1 has of these tables where none is given."""
+    model = decoder or repairer_for((scans, "scan_id", "visible_text"), (flags, "flag_id", "evidence"))
+    return variants(sources_of(scans, flags), model).select("src", "rec_id").distinct()
 
 
 def unified(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """(src, rec_id, text): the texts that aren't in the one form, brought to it; equal looks are then equal texts."""
+    """(src, rec_id, text): the texts that aren't in the one form, brought to it; equal looks are then equal texts.
+
+    Damaged texts too are brought to it, as they are. Texts without any character that could stand in for another are
+    left out before anything is shuffled.
+    """
     pairs = variants(sources).groupBy("src", "rec_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "canonical"))).alias("canon"))
-    texts = _texts(sources).dropDuplicates(["src", "rec_id"]).join(pairs, ["src", "rec_id"])
+    texts = _texts(sources).where(F.col("text").rlike(any_pattern())).dropDuplicates(["src", "rec_id"]).join(pairs, ["src", "rec_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = re.compile(r"([ \t\r\n]+)")
