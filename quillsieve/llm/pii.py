@@ -4,8 +4,8 @@ Transducers rewrite each text, keeping for every character of the result the pla
 look-alike characters become what they stand in for, unseen ones vanish, accents fall off, spelled-out digits become
 digits, and the many ways to write the at sign and the dot become those signs. Identifiers are recognised in the
 rewritten text and their spans are mapped back to the source. Names and street names are recognised by lexicons of all
-parts of the known identities' names and of all streets of contact lines; a name that the lexicon can't give is searched
-for as it stands in the scan's own identity.
+parts of the known identities' names and of all streets of contact lines; a name that the lexicon can't give, and the
+e-mail addresses and phone numbers of the scan's own identity are searched for besides.
 """
 
 from __future__ import annotations
@@ -340,7 +340,7 @@ def _odd_word(line: str, at: int) -> bool:
     return re.search(r"[^\x00-\x7fЀ-ӿ]|\w\?\w", line[start : end if end >= 0 else len(line)]) is not None
 
 
-def _line(line: str, hints: set, lex: Lexicon) -> list[tuple[int, int, str]]:
+def _line(line: str, hints: set, lex: Lexicon, phones: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     masked = line
 
@@ -371,7 +371,7 @@ def _line(line: str, hints: set, lex: Lexicon) -> list[tuple[int, int, str]]:
             if not 9 <= digits <= 15:
                 continue
             before, after = masked[: m.start()], masked[m.start() + len(number) :]
-            if number[0] in "+(" or number.startswith("00") and digits >= 11:
+            if number[0] in "+(" or number.startswith("00") and digits >= 11 or _digits(number) in phones:
                 take(m.start(), m.start() + len(number), "phone")
                 continue
             if _NO_PHONE.search(before[-28:]):
@@ -384,23 +384,30 @@ def _line(line: str, hints: set, lex: Lexicon) -> list[tuple[int, int, str]]:
                     near = near[min(cut_at + 1, len(near)) :] if cut_at < len(near) else near
             if alone or _PHONE_CUE.search(near) or re.search(r"(?:\b(?:at|on|na|pod|unter|al|au|le|to)\s)$", before[-12:], re.I) and re.search(r"^0|[ ./\-]", number):
                 take(m.start(), m.start() + len(number), "phone")
-    for k in sorted(k for k in hints if isinstance(k, tuple) and k[0] == "own"):
+    for k in sorted(k for k in hints if isinstance(k, tuple) and k[0] in ("name", "email")):
         if "\x00" not in masked[k[1] : k[2]]:
-            take(k[1], k[2], "name")
+            take(k[1], k[2], k[0])
     if "n" in hints:
         for a, b in _names(masked, lex):
             take(a, b, "name")
     return spans
 
 
-def _own(name: str) -> re.Pattern | None:
-    """Pattern of a name as it stands; None for a name without letters."""
-    words = [re.escape(w) for w in re.split(r"\s+", transduce(name)[0].strip()) if w]
-    return re.compile(r"(?<!\w)" + r"[^\S\n]+".join(words) + r"(?!\w)", re.I) if words and _LETTERS.search(name) else None
+def _own(known: str) -> re.Pattern | None:
+    """Pattern of a name or address as it stands; None for one without letters."""
+    words = [re.escape(w) for w in re.split(r"\s+", transduce(known)[0].strip()) if w]
+    return re.compile(r"(?<!\w)" + r"[^\S\n]+".join(words) + r"(?!\w)", re.I) if words and _LETTERS.search(known) else None
+
+
+def _digits(number: str) -> str:
+    """The last nine digits of a number, which are the same in all notations; empty for fewer."""
+    digits = "".join([c for c in number if c.isdigit()])
+    return digits[-9:] if len(digits) >= 9 else ""
 
 
 def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every item in the source text, in order. own: names to look for as they stand."""
+    """(start, end, kind) of every item in the source text, in order. own: what the text's own identity has, each as
+    "name:…" or "email:…", looked for as it stands, or "phone:…", looked for in any notation."""
     if not text:
         return []
     plain, places = transduce(text)
@@ -420,12 +427,18 @@ def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[t
                 at = end - (ends[k - 1] if k else 0)
                 kind = ("s", at - kind[1], at)
             hints[k].add(kind)
-    for name in own or ():
-        for m in rx.finditer(plain) if (rx := _own(name)) else ():
-            if not m.group(0)[0].islower():
+    phones = set()
+    for known in own or ():
+        what, _, value = known.partition(":")
+        if what == "phone":
+            phones.add(_digits(value))
+            continue
+        for m in rx.finditer(plain) if (rx := _own(value)) else ():
+            if what == "email" or not m.group(0)[0].islower():
                 k = bisect_right(ends, m.start())
                 at = ends[k - 1] if k else 0
-                hints[k].add(("own", m.start() - at, m.end() - at))
+                hints[k].add((what, m.start() - at, m.end() - at))
+    phones = frozenset(phones - {""})
     for rx in (_ID_HINT, _AT_HINT):
         for m in rx.finditer(plain):
             hints[bisect_right(ends, m.start())].add("x")
@@ -437,7 +450,7 @@ def find(text: str | None, lex: Lexicon, own: list[str] | None = None) -> list[t
     for k in sorted(hints):
         if k < len(lines) and (any(not isinstance(x, int) for x in hints[k]) or _DIGIT.search(lines[k])):
             at = ends[k] - len(lines[k]) - 1
-            out += [(at + a, at + b, kind) for a, b, kind in _line(lines[k], hints[k], lex)]
+            out += [(at + a, at + b, kind) for a, b, kind in _line(lines[k], hints[k], lex, phones)]
     if places is not None:
         out = [(places[a], _source_end(text, plain, places, b), k) for a, b, k in out]
     return sorted(out)
@@ -499,17 +512,26 @@ def fit(scans: DataFrame, extractions: DataFrame, text: str = "visible_text") ->
     return Lexicon(by["first"], by["last"], by["street"])
 
 
-def own_names(extractions: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(scan_id, own): of each scan the names of its own identities that the lexicon doesn't give as a whole."""
+def own_items(extractions: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(scan_id, own): of each scan what its own identities have and ``find`` may not see without: names that the lexicon
+    doesn't give as a whole, addresses that no pattern meets, and phone numbers, which may stand without a caption."""
     shared = extractions.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rest = [not any(k == "name" and a == 0 and e == len(n) for a, e, k in find(n, shared.value)) for n in b.column(1).to_pylist()]
+            rest = []
+            for known in b.column(1).to_pylist():
+                what, _, value = known.partition(":")
+                rest.append(bool(_digits(value)) if what == "phone" else not any(k == what and a == 0 and e == len(value) for a, e, k in find(value, shared.value)))
             yield b.filter(pa.array(rest, pa.bool_()))
 
-    name = F.trim("identity_info.full_name")
-    given = extractions.where(F.col("scan_id").isNotNull() & (F.length(name) > 3)).select("scan_id", name.alias("own")).distinct()
+    identity = F.array(
+        F.transform(F.array("identity_info.full_name"), lambda v: F.concat(F.lit("name:"), F.trim(v))),
+        F.transform("identity_info.emails", lambda v: F.concat(F.lit("email:"), F.trim(v))),
+        F.transform("identity_info.phones", lambda v: F.concat(F.lit("phone:"), F.trim(v))),
+    )
+    known = F.explode(F.flatten(F.filter(identity, lambda v: v.isNotNull())))
+    given = extractions.where(F.col("scan_id").isNotNull()).select("scan_id", known.alias("own")).where(F.length("own") > 8).distinct()
     kind = extractions.schema["scan_id"].dataType.simpleString()
     return given.mapInArrow(run, f"scan_id {kind}, own string").groupBy("scan_id").agg(F.collect_set("own").alias("own"))
 
@@ -519,7 +541,7 @@ def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str =
 
     Places are code points of the source, from 0. Null and empty texts have no items and stay as they are; repeated rows
     give repeated rows; whole texts are read; an empty table gives an empty one. Other columns aren't read. own: (key,
-    own), the names to look for in the row's text besides the lexicon's, at most a row a key.
+    own), what to look for in the row's text as in ``find``, at most a row a key.
     """
     shared = scans.sparkSession.sparkContext.broadcast(lexicon)
     kind, joined = scans.schema[key].dataType.simpleString(), own is not None
@@ -547,10 +569,10 @@ def items(scans: DataFrame, lexicon: Lexicon, key: str = "scan_id", text: str =
 def found(scans: DataFrame, extractions: DataFrame) -> DataFrame:
     """(scan_id, kind, start_pos) of every item, each once however often its row came."""
     lexicon = fit(scans, extractions)
-    return items(scans, lexicon, own=own_names(extractions, lexicon)).where(F.col("scan_id").isNotNull()).select("scan_id", "kind", "start_pos").distinct()
+    return items(scans, lexicon, own=own_items(extractions, lexicon)).where(F.col("scan_id").isNotNull()).select("scan_id", "kind", "start_pos").distinct()
 
 
 def redacted(scans: DataFrame, extractions: DataFrame) -> DataFrame:
     """(scan_id, visible_text) of every scan with its personal data replaced by typed placeholders."""
     lexicon = fit(scans, extractions)
-    return items(scans, lexicon, redacted=True, own=own_names(extractions, lexicon))
+    return items(scans, lexicon, redacted=True, own=own_items(extractions, lexicon))

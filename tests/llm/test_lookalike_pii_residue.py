@@ -137,3 +137,17 @@ def test_cleaned(spark):
     docs = spark.createDataFrame([(1, "Dear {{name}}, welcome.", "a"), (1, "Dear {{name}}, welcome.", "a"), (2, "Real text.", "b"), (None, "Real text.", "c"), (3, None, "d")], "doc_id bigint, text string, kind string")
     assert sorted(str(r.doc_id) for r in residue.cleaned(docs).collect()) == ["2", "3", "None"]
     assert residue.cleaned(docs.limit(0)).columns == ["doc_id", "text", "kind"]
+
+
+def test_own_identity(spark):
+    """What the scan's own identity has is found where no pattern or caption shows it, in any notation."""
+    lex = pii.Lexicon({}, {}, {})
+    text = "Code 602 123 456 and Jan Xyzzy or jan.xyzzy@intranet there"
+    show = lambda own: [(k, text[a:b]) for a, b, k in pii.find(text, lex, own)]
+    assert show(None) == []
+    assert show(["phone:+420602123456", "name:Jan Xyzzy", "email:jan.xyzzy@intranet"]) == [("phone", "602 123 456"), ("name", "Jan Xyzzy"), ("email", "jan.xyzzy@intranet")]
+    rows = [(1, ("Jan Xyzzy", ["jan.xyzzy@intranet", None], ["+420602123456"])), (1, ("Jan Xyzzy", None, [])), (2, None), (None, ("A Bcd", ["a@b"], None))]
+    extractions = spark.createDataFrame(rows, "scan_id bigint, identity_info struct<full_name string, emails array<string>, phones array<string>>")
+    scans = spark.createDataFrame([(1, text), (2, text), (3, None)], "scan_id bigint, visible_text string")
+    got = pii.items(scans, lex, own=pii.own_items(extractions, lex)).collect()
+    assert sorted((r.scan_id, r.kind) for r in got) == [(1, "email"), (1, "name"), (1, "phone")]
