@@ -525,11 +525,9 @@ def own_items(extractions: DataFrame, lexicon: Lexicon) -> DataFrame:
                 rest.append(bool(_digits(value)) if what == "phone" else not any(k == what and a == 0 and e == len(value) for a, e, k in find(value, shared.value)))
             yield b.filter(pa.array(rest, pa.bool_()))
 
-    identity = F.array(
-        F.transform(F.array("identity_info.full_name"), lambda v: F.concat(F.lit("name:"), F.trim(v))),
-        F.transform("identity_info.emails", lambda v: F.concat(F.lit("email:"), F.trim(v))),
-        F.transform("identity_info.phones", lambda v: F.concat(F.lit("phone:"), F.trim(v))),
-    )
+    fields = extractions.schema["identity_info"].dataType.fieldNames()
+    lists = {"name": F.array("identity_info.full_name")} | {k: F.col(f"identity_info.{f}") for k, f in (("email", "emails"), ("phone", "phones")) if f in fields}
+    identity = F.array(*[F.transform(c, lambda v, k=k: F.concat(F.lit(f"{k}:"), F.trim(v))) for k, c in lists.items()])
     known = F.explode(F.flatten(F.filter(identity, lambda v: v.isNotNull())))
     given = extractions.where(F.col("scan_id").isNotNull()).select("scan_id", known.alias("own")).where(F.length("own") > 8).distinct()
     kind = extractions.schema["scan_id"].dataType.simpleString()
