@@ -527,7 +527,8 @@ def own_items(extractions: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     fields = extractions.schema["identity_info"].dataType.fieldNames()
     lists = {"name": F.array("identity_info.full_name")} | {k: F.col(f"identity_info.{f}") for k, f in (("email", "emails"), ("phone", "phones")) if f in fields}
-    identity = F.array(*[F.transform(c, lambda v, k=k: F.concat(F.lit(f"{k}:"), F.trim(v))) for k, c in lists.items()])
+    marked = lambda k, c: F.transform(c, lambda v: F.concat(F.lit(f"{k}:"), F.trim(v)))
+    identity = F.array(*[marked(k, c) for k, c in lists.items()])
     known = F.explode(F.flatten(F.filter(identity, lambda v: v.isNotNull())))
     given = extractions.where(F.col("scan_id").isNotNull()).select("scan_id", known.alias("own")).where(F.length("own") > 8).distinct()
     kind = extractions.schema["scan_id"].dataType.simpleString()
