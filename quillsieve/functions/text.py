@@ -62,6 +62,11 @@ def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, f"[{INVISIBLE}]", "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+
+
 def decode_tags(c: Column) -> Column:
     """The ASCII text that tag characters (U+E0020 to U+E007E) spell; empty where there are none."""
     chars = F.regexp_extract_all(c, F.lit(r"[\x{E0020}-\x{E007E}]"), F.lit(0))

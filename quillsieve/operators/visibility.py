@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, text
+from .findings import CLIP, escalate, instruction
 
 #: Contrast below which text is hidden or faint, and sizes in points below which it is too small to read.
 HIDDEN_CONTRAST, FAINT_CONTRAST, TINY_POINTS = 1.6, 2.5, 4.0
 OVERLAP = 0.5
+#: Characters that an annotation must have to be a finding, text that lies off a page, and unseen ones.
+LEAST_TEXT, LEAST_EVIDENCE = 12, 150
+HIDDEN_STATES = ("vanish", "low_contrast", "tiny_font")
+FINDINGS = "type string, severity string, location string, evidence string, method string"
 
 
 def background(highlight: Column, run: Column, paragraph: Column, page: Column) -> Column:
@@ -32,37 +37,96 @@ def vanishes(v: Column, present: Column) -> Column:
 
 
 def classify_runs(runs: DataFrame) -> DataFrame:
-    """Adds contrast, state (empty, vanish, low_contrast, tiny_font, faint, visible), hidden and n_unseen to text runs.
+    """Adds contrast, state, hidden, n_unseen, clean (the text without unseen characters and white space around it) and tags
+    (what tag characters spell) to runs.
 
-    runs: text, vanish, has_vanish, color, highlight, run_shd, para_shd, doc_bg, size_half_pt. Null sizes are read as
-    readable, null texts as empty.
+    runs: text, vanish, has_vanish, color, highlight, run_shd, para_shd, doc_bg, size_half_pt and perhaps kind. The state
+    of a run of text is empty, vanish, low_contrast, tiny_font, faint or visible, the first that fits. Of the other kinds
+    (annotation, alt_text, metadata) it is the kind itself: a reader of the page sees none of them, so none is ever
+    visible. Null sizes are read as readable, null texts as empty, null kinds as text.
     """
-    behind = background(F.col("highlight"), F.col("run_shd"), F.col("para_shd"), F.col("doc_bg"))
-    r = runs.withColumn("contrast", F.round(color.contrast(foreground(F.col("color"), behind), behind), 3))
+    r = runs if "kind" in runs.columns else runs.withColumn("kind", F.lit("text"))
+    r = r.withColumn("__back", background(F.col("highlight"), F.col("run_shd"), F.col("para_shd"), F.col("doc_bg"))).withColumn("__below", color.luminance(F.col("__back")))
+    r = r.withColumn("__own", color.luminance(F.coalesce(color.parse(F.col("color")), F.when(F.col("__below") > 0.5, "000000").otherwise("FFFFFF"))))
+    r = r.withColumn("contrast", F.round((F.greatest("__own", "__below") + 0.05) / (F.least("__own", "__below") + 0.05), 3))
+    r = r.withColumn("n_unseen", F.coalesce(text.invisible_count(F.col("text")), F.lit(0))).withColumn("clean", text.trimmed(text.strip_invisible(F.coalesce("text", F.lit("")))))
+    r = r.withColumn("tags", F.when(F.col("n_unseen") > 0, text.decode_tags(F.col("text"))).otherwise(F.lit("")))
     state = (
-        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
+        F.when(F.coalesce("kind", F.lit("text")) != "text", F.col("kind"))
+        .when(F.col("clean") == "", "empty")
         .when(vanishes(F.col("vanish"), F.col("has_vanish")), "vanish")
         .when(F.col("contrast") < HIDDEN_CONTRAST, "low_contrast")
         .when(F.coalesce(F.col("size_half_pt") / 2 < TINY_POINTS, F.lit(False)), "tiny_font")
         .when(F.col("contrast") < FAINT_CONTRAST, "faint")
         .otherwise("visible")
     )
-    return r.withColumn("state", state).withColumn("hidden", F.col("state").isin("vanish", "low_contrast", "tiny_font")).withColumn("n_unseen", F.coalesce(text.invisible_count(F.col("text")), F.lit(0)))
+    return r.withColumn("state", state).withColumn("hidden", F.col("state").isin(*HIDDEN_STATES)).drop("__back", "__below", "__own")
 
 
-def grade(contrast: Column, points: Column) -> Column:
-    """The same cascade for measured contrast and size."""
-    return F.when(contrast < HIDDEN_CONTRAST, "low_contrast").when(points < TINY_POINTS, "tiny_font").when(contrast < FAINT_CONTRAST, "faint").otherwise("visible")
+def evidence(hit: Column, c: Column) -> Column:
+    """The text's beginning, after what was matched in it."""
+    return F.concat(F.when(F.coalesce(hit, F.lit("")) != "", F.concat(F.lit("[match: "), hit, F.lit("] "))).otherwise(""), F.substring(F.coalesce(c, F.lit("")), 1, CLIP))
+
+
+def _finding(kind: Column, severity: Column, location: Column, what: Column) -> Column:
+    return F.struct(kind.alias("type"), severity.alias("severity"), location.alias("location"), what.alias("evidence"), F.lit("deterministic").alias("method"))
+
 
+def scanned(classified: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, visible, hidden, findings) of every document that has runs, in one pass over them.
 
-def assemble(runs: DataFrame, key: str = "doc") -> DataFrame:
-    """(key, visible, hidden): the texts a reader sees and doesn't, runs in order joined within a paragraph, paragraphs by
-    line feeds. Documents without any run have no row."""
-    para = runs.where("state <> 'empty'").groupBy(key, "part", "para").agg(
-        *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hidden") == h, F.struct("run", "text")))), lambda x: x["text"]), "").alias(n) for n, h in (("v", False), ("h", True))]
+    Visible are only runs of text that the cascade leaves visible or faint, without unseen characters, joined by spaces
+    within a paragraph, paragraphs by line feeds; the body first, then the other parts by name. Hidden, a line each, are
+    the hidden runs, what tag characters spell, annotations of at least ``LEAST_TEXT`` characters (by part), and
+    alternative texts (each) and metadata (by part) with an instruction. Findings (``FINDINGS``) are those, unseen
+    characters (at least three) and faint runs. An instruction makes a finding critical, but a faint text stays info.
+    A group is one part of one document, whose size the reader limits.
+    """
+    state, faint, alt = F.col("state"), F.col("state") == "faint", F.col("state") == "alt_text"
+    text_run = state.isin("empty", "faint", "visible", *HIDDEN_STATES)
+    r = classified.withColumn("hit", instruction(F.when(F.col("hidden") | faint | alt, F.col("clean")), broad=True)).withColumn("tag_hit", instruction(F.when(F.col("tags") != "", F.col("tags")), broad=True))
+    alt_hit = alt & (F.coalesce("hit", F.lit("")) != "")
+    spelled = F.substring(F.when(F.col("tags") != "", F.col("tags")).otherwise(F.concat(F.col("n_unseen").cast("string"), F.lit(" invisible code points"))), 1, LEAST_EVIDENCE)
+    unseen = F.when(text_run & (F.col("n_unseen") >= text.INVISIBLE_LEAST), _finding(F.lit("unicode_invisible"), escalate(F.lit("warn"), F.col("tag_hit")), F.col("part"), spelled))
+    kind = F.when(faint, "docx_faint_text").otherwise(F.concat(F.lit("docx_"), state))
+    odd = F.when(
+        faint | F.col("hidden") | alt_hit, _finding(kind, F.when(faint, "info").otherwise(escalate(F.lit("warn"), F.col("hit"))), F.col("part"), F.when(faint, F.substring("clean", 1, CLIP)).otherwise(evidence(F.col("hit"), F.col("clean"))))
     )
-    order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("part", "para", F.col(c).alias("t"))))), lambda x: x["t"]), "\n")
-    return para.groupBy(key).agg(order("v").alias("visible"), order("h").alias("hidden"))
+    tag_line = F.when(text_run & (F.col("tags") != ""), F.col("tags"))
+    row = F.struct(
+        "para", "run", F.when(state.isin("visible", "faint"), F.col("clean")).alias("shown"), F.array_compact(F.array(tag_line, F.when(F.col("hidden") | alt_hit, F.col("clean")))).alias("lines"),
+        F.array_compact(F.array(unseen, odd)).alias("found"), F.when(state == "annotation", F.col("text")).alias("note"), F.when(state == "metadata", F.col("clean")).alias("meta"), F.when(~text_run & ~alt, state).alias("kind"),
+    )
+    x = r.groupBy(key, "part").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    each = lambda c, f: F.transform(F.filter("x", lambda v: v[c].isNotNull()), f)
+    noted = F.concat(F.array_join(each("note", lambda v: v["note"]), ""), F.array_join(each("meta", lambda v: v["meta"]), " "))
+    x = x.withColumn("kind", F.array_max(F.transform("x", lambda v: v["kind"]))).withColumn("other", F.when(F.col("kind").isNotNull(), text.trimmed(text.strip_invisible(noted))))
+    x = x.withColumn("hit", instruction(F.col("other"), broad=True)).withColumn("kept", F.coalesce(F.when(F.col("kind") == "metadata", F.col("hit") != "").otherwise(F.length("other") >= LEAST_TEXT), F.lit(False)))
+    x = x.withColumn("seen", F.filter("x", lambda v: v["shown"].isNotNull()))
+    before = lambda i: F.get("seen", i - 1)["para"]
+    visible = F.array_join(F.transform("seen", lambda v, i: F.concat(F.when(i == 0, "").when(before(i) == v["para"], " ").otherwise("\n"), v["shown"])), "")
+    lines = F.concat(F.flatten(F.transform("x", lambda v: v["lines"])), F.array_compact(F.array(F.when(F.col("kept"), F.col("other")))))
+    whole = F.when(F.col("kept"), _finding(F.concat(F.lit("docx_"), F.col("kind")), escalate(F.lit("info"), F.col("hit")), F.col("part"), evidence(F.col("hit"), F.col("other"))))
+    found = F.concat(F.flatten(F.transform("x", lambda v: v["found"])), F.array_compact(F.array(whole)))
+    step = F.when(F.col("kind") == "metadata", 3).when(F.col("kind").isNotNull(), 2).when(F.col("part").rlike("(^|/)document(.xml)?$"), 0).otherwise(1)
+    parts = x.select(key, F.struct(step.alias("step"), "part", visible.alias("v"), F.array_join(lines, "\n").alias("h"), found.alias("f")).alias("p")).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    of = lambda c: F.array_join(F.transform(F.filter("p", lambda v: v[c] != ""), lambda v: v[c]), "\n")
+    return parts.select(key, of("v").alias("visible"), of("h").alias("hidden"), F.flatten(F.transform("p", lambda v: v["f"])).alias("findings"))
+
+
+def docx_findings(classified: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, ``FINDINGS``): a row per finding of word processing documents; documents without any have none."""
+    return scanned(classified, key).select(key, F.explode("findings").alias("f")).select(key, "f.*")
+
+
+def assemble(classified: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, visible, hidden): the texts that a reader sees and doesn't. Documents without any run have no row."""
+    return scanned(classified, key).select(key, "visible", "hidden")
+
+
+def grade(contrast: Column, points: Column) -> Column:
+    """The same cascade for measured contrast and size."""
+    return F.when(contrast < HIDDEN_CONTRAST, "low_contrast").when(points < TINY_POINTS, "tiny_font").when(contrast < FAINT_CONTRAST, "faint").otherwise("visible")
 
 
 def behind_spans(spans: DataFrame, drawings: DataFrame) -> DataFrame:

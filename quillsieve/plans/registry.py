@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import nested, screening
+from . import nested, scanning, screening
 
 FLAGSHIP = screening.ranked_candidates
-QUERIES = {**screening.QUERIES, **nested.QUERIES}
-SQL = {**screening.SQL, **nested.SQL}
+QUERIES = {**screening.QUERIES, **nested.QUERIES, **scanning.QUERIES}
+SQL = {**screening.SQL, **nested.SQL, **scanning.SQL}

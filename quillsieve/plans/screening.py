@@ -430,7 +430,7 @@ def visibility_cascade(spark, sf):
 
 
 @query(
-    f"""{_CLASSIFIED}, p AS (SELECT doc, part, para, string_agg(text, '' ORDER BY run) FILTER (state NOT IN ('vanish', 'low_contrast', 'tiny_font')) AS v, string_agg(text, '' ORDER BY run) FILTER (state IN ('vanish', 'low_contrast', 'tiny_font')) AS h FROM s WHERE state <> 'empty' GROUP BY 1, 2, 3)
+    f"""{_CLASSIFIED}, p AS (SELECT doc, part, para, string_agg(trim(text), ' ' ORDER BY run) FILTER (state IN ('faint', 'visible')) AS v, string_agg(trim(text), chr(10) ORDER BY run) FILTER (state IN ('vanish', 'low_contrast', 'tiny_font')) AS h FROM s GROUP BY 1, 2, 3)
     SELECT doc, coalesce(string_agg(v, chr(10) ORDER BY part, para), '') AS visible, coalesce(string_agg(h, chr(10) ORDER BY part, para), '') AS hidden FROM p GROUP BY 1"""
 )
 def visible_and_hidden(spark, sf):
