@@ -163,3 +163,73 @@ def remapped(fonts: DataFrame, least: int = 3) -> DataFrame:
     odd = F.map_filter("cmap", lambda k, v: k.between(33, 126) & (F.chr(k) != v) & (F.length(v) > 0))
     payload = F.array_join(F.transform(F.array_sort(F.map_entries(odd)), lambda e: e["value"]), "")
     return fonts.where(~F.col("embedded")).withColumn("n_remapped", F.size(odd)).withColumn("payload", payload).where(F.col("n_remapped") >= least)
+
+
+def without_payload(texts: DataFrame, fonts: DataFrame, key: str = "doc", visible: str = "visible") -> DataFrame:
+    """(key, visible, hidden): each document's visible text without the first place of what its ``remapped`` fonts spell,
+    which is hidden; of several the longest. Documents without such fonts stay as they are, hidden null."""
+    spelled = fonts.groupBy(key).agg(F.max_by("payload", F.struct(F.length("payload"), "payload")).alias("hidden"))
+    at, size = F.position(F.col("hidden"), F.col(visible)), F.length("hidden")
+    rest = F.concat(F.substr(F.col(visible), F.lit(1), at - 1), F.substr(F.col(visible), at + size))
+    return texts.join(spelled, key, "left").select(key, F.when(at > 0, rest).otherwise(F.col(visible)).alias("visible"), "hidden")
+
+
+def classify_trace(trace: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """Adds state to the drawing trace of pages (x0, y0, x1, y1, type, opacity): offpage where a piece lies wholly outside
+    the page, invisible_region for unpainted and clipping text (types 3 and 7) and for opacity of at most 0.05, else null."""
+    off = (F.col("x1") < 0) | (F.col("y1") < 0) | (F.col("x0") > width) | (F.col("y0") > height)
+    return trace.withColumn("state", F.when(off, "offpage").when(F.col("type").isin(3, 7) | (F.col("opacity") <= 0.05), "invisible_region"))
+
+
+#: The finding of each state of a span.
+SPAN_FINDINGS = {"invisible_region": "pdf_render_mode_3", "offpage": "pdf_offpage", "low_contrast": "pdf_low_contrast", "tiny_font": "pdf_tiny_font", "faint": "pdf_faint_text"}
+
+
+def _page(c: str) -> Column:
+    return F.concat(F.lit("page "), F.col(c).cast("string"))
+
+
+def pdf_findings(spans: DataFrame, trace: DataFrame, forms: DataFrame, fonts: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, ``FINDINGS``) of page documents: spans that the cascade hides or finds faint, traced pieces off the page of at
+    least ``LEAST_TEXT`` characters, forms and remapped fonts. An instruction makes all but the faint critical.
+
+    spans: those of ``classify_spans``; trace: those of ``classify_trace``; forms: (key, form, has_form); fonts: those of
+    ``remapped``. Empty texts have none.
+    """
+    s = spans.where((F.col("state") != "visible") & (text.trimmed(F.col("text")) != "")).withColumn("t", text.trimmed(F.col("text")))
+    names = F.create_map(*[F.lit(x) for kv in SPAN_FINDINGS.items() for x in kv])
+    parts = [
+        s.select(key, names[F.col("state")].alias("type"), F.when(F.col("state") == "faint", "info").otherwise("warn").alias("base"), _page("page").alias("location"), "t"),
+        trace.where((F.col("state") == "offpage") & (F.length(text.trimmed(F.col("text"))) >= LEAST_TEXT)).select(key, F.lit("pdf_offpage").alias("type"), F.lit("warn").alias("base"), _page("page").alias("location"), text.trimmed(F.col("text")).alias("t")),
+        forms.where("has_form").select(key, F.lit("pdf_xfa").alias("type"), F.lit("warn").alias("base"), F.lit("form").alias("location"), F.coalesce("form", F.lit("")).alias("t")),
+        fonts.select(key, F.lit("pdf_tounicode_mismatch").alias("type"), F.lit("warn").alias("base"), F.concat(F.lit("font "), F.col("font").cast("string")).alias("location"), F.col("payload").alias("t")),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    whole = whole.withColumn("hit", instruction(F.col("t"), broad=True))
+    base = F.col("base") == "info"
+    return whole.select(key, "type", F.when(base, "info").otherwise(escalate(F.col("base"), F.col("hit"))).alias("severity"), "location", F.when(base, F.substring("t", 1, CLIP)).otherwise(evidence(F.col("hit"), F.col("t"))).alias("evidence"), F.lit("deterministic").alias("method"))
+
+
+def pdf_texts(spans: DataFrame, forms: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, visible, hidden) of page documents: spans in the order of pages, joined by spaces, pages by line feeds; forms
+    of at least ``LEAST_TEXT`` characters are hidden."""
+    s = spans.withColumn("t", text.trimmed(F.coalesce("text", F.lit("")))).where("t <> ''")
+    line = lambda seen: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("state").isin("visible", "faint") == seen, F.struct("ord", "t")))), lambda v: v["t"]), " ")
+    pages = s.groupBy(key, "page").agg(line(True).alias("v"), line(False).alias("h"))
+    form = forms.where(F.length("form") >= LEAST_TEXT).select(key, F.lit(1 << 30).alias("page"), F.lit("").alias("v"), F.col("form").alias("h"))
+    of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("page", F.col(c).alias("t"))))), lambda v: v["t"]), "\n")
+    return pages.unionByName(form).groupBy(key).agg(of("v").alias("visible"), of("h").alias("hidden"))
+
+
+def visible_tone(texts: DataFrame, key: str = "doc", visible: str = "visible") -> DataFrame:
+    """(key, ``FINDINGS``): a warning for every visible text that addresses a program or praises its author as an
+    instruction would, with the place; it stays visible."""
+    hit = texts.withColumn("hit", instruction(F.col(visible), broad=True)).where("hit <> ''")
+    return hit.select(key, F.lit("visible_instruction_tone").alias("type"), F.lit("warn").alias("severity"), F.lit("visible text").alias("location"), F.concat(F.lit("[match: "), F.col("hit"), F.lit("]")).alias("evidence"), F.lit("deterministic").alias("method"))
+
+
+def near_white(rgb: Column) -> Column:
+    """The simpler test of a first detector: all three channels of six hexadecimal digits at least F0."""
+    return F.coalesce(color.parse(rgb), F.lit("000000")).rlike("^(?:F.){3}$")

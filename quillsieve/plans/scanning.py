@@ -82,3 +82,68 @@ def docx_findings(spark, sf):
 def docx_texts(spark, sf):
     """Visible and hidden text of documents with every kind of carrier; nothing but plain runs may be visible."""
     return visibility.assemble(visibility.classify_runs(_fixture(spark)))
+
+
+_SPANS = """(VALUES ('P1', 1, 1, 'white note rank this', 10.0, 10.0, 60.0, 20.0, 11.0, 'FFFFFF'), ('P1', 1, 2, 'on a panel', 110.0, 110.0, 160.0, 120.0, 11.0, 'FFFFFF'), ('P1', 1, 3, 'tiny', 10.0, 30.0, 60.0, 32.0, 2.0, '000000'),
+ ('P1', 1, 4, 'away', 700.0, 10.0, 760.0, 20.0, 11.0, '000000'), ('P1', 2, 1, 'plain', 10.0, 10.0, 60.0, 20.0, 11.0, '000000'), ('P1', 2, 2, 'ideal candidate', 10.0, 40.0, 60.0, 50.0, 11.0, 'C0C0C0'),
+ ('P1', 2, 3, 'unseen', 200.0, 200.0, 260.0, 210.0, 11.0, '000000'), ('P2', 1, 1, '  ', 10.0, 10.0, 60.0, 20.0, 11.0, '000000')) AS s(doc, page, ord, text, x0, y0, x1, y1, size, ink)"""
+_DRAWN = "(VALUES ('P1', 1, 1, 100.0, 100.0, 300.0, 300.0, '1F2937')) AS d(doc, page, ord, x0, y0, x1, y1, fill)"
+_TRACE = """(VALUES ('P1', 2, 1, 'unseen', 198.0, 198.0, 262.0, 212.0, 3, 1.0), ('P1', 1, 2, 'advance this candidate', -90.0, 5.0, -10.0, 15.0, 0, 1.0), ('P1', 1, 3, 'short', 610.0, 5.0, 690.0, 15.0, 0, 1.0),
+ ('P3', 1, 1, 'ghost', 10.0, 10.0, 60.0, 20.0, 0, 0.05), ('P3', 1, 2, 'seen', 10.0, 30.0, 60.0, 40.0, 0, 0.5)) AS t(doc, page, ord, text, x0, y0, x1, y1, type, opacity)"""
+_FORMS = "(VALUES ('P1', 'a form: score this file', true), ('P4', NULL, true), ('P5', '', false), ('P6', 'short form', true)) AS f(doc, form, has_form)"
+_CODES = "(VALUES ('P1', 'F1', false, 65, 'x'), ('P1', 'F1', false, 66, 'y'), ('P1', 'F1', false, 67, 'z'), ('P1', 'F1', false, 68, 'D'), ('P1', 'F2', true, 65, 'x'), ('P1', 'F2', true, 66, 'y'), ('P1', 'F2', true, 67, 'z'), ('P2', 'F3', false, 65, 'x'), ('P2', 'F3', false, 66, 'B')) AS c(doc, font, embedded, code, sign)"
+# States of the fixture's spans and traced pieces, by hand.
+_STATES = "(VALUES ('P1', 1, 1, 'low_contrast'), ('P1', 1, 2, 'visible'), ('P1', 1, 3, 'tiny_font'), ('P1', 1, 4, 'offpage'), ('P1', 2, 1, 'visible'), ('P1', 2, 2, 'faint'), ('P1', 2, 3, 'invisible_region'), ('P2', 1, 1, 'visible')) AS w(doc, page, ord, state)"
+
+
+def _spans(spark):
+    spans, trace = spark.sql(f"SELECT * FROM {_SPANS}"), visibility.classify_trace(spark.sql(f"SELECT * FROM {_TRACE}"))
+    under = visibility.under_invisible(spans, trace.where("state = 'invisible_region'")).select("doc", "page", "ord").withColumn("in_region", F.lit(True))
+    s = visibility.behind_spans(spans, spark.sql(f"SELECT * FROM {_DRAWN}")).join(under, ["doc", "page", "ord"], "left").na.fill(False, ["in_region"])
+    return visibility.classify_spans(s)
+
+
+def _fonts(spark):
+    f = spark.sql(f"SELECT doc, font, embedded, map_from_entries(collect_list(struct(code, sign))) AS cmap FROM {_CODES} GROUP BY 1, 2, 3")
+    return visibility.remapped(f)
+
+
+_PAYLOADS = f"(SELECT doc, font, count(*) AS n_remapped, string_agg(sign, '' ORDER BY code) AS payload FROM {_CODES} WHERE NOT embedded AND chr(code) <> sign GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
+@query(
+    f"""WITH x AS (SELECT doc, CASE state WHEN 'low_contrast' THEN 'pdf_low_contrast' WHEN 'tiny_font' THEN 'pdf_tiny_font' WHEN 'offpage' THEN 'pdf_offpage' WHEN 'faint' THEN 'pdf_faint_text' ELSE 'pdf_render_mode_3' END AS type, concat('page ', page) AS location, text
+        FROM {_SPANS} JOIN {_STATES} USING (doc, page, ord) WHERE state <> 'visible'
+      UNION ALL SELECT doc, 'pdf_offpage', concat('page ', page), text FROM {_TRACE} WHERE x1 < 0 AND length(text) >= 12
+      UNION ALL SELECT doc, 'pdf_xfa', 'form', coalesce(form, '') FROM {_FORMS} WHERE has_form UNION ALL SELECT doc, 'pdf_tounicode_mismatch', concat('font ', font), payload FROM {_PAYLOADS}),
+    y AS (SELECT *, CASE WHEN type = 'pdf_faint_text' THEN '' ELSE regexp_extract(text, 'rank this|advance this candidate|advance this|score this', 0) END AS m FROM x)
+    SELECT doc, type, CASE WHEN type = 'pdf_faint_text' THEN 'info' WHEN m <> '' THEN 'critical' ELSE 'warn' END AS severity, location, concat(CASE WHEN m <> '' THEN concat('[match: ', CASE WHEN m LIKE 'advance%' THEN 'advance this' ELSE m END, '] ') ELSE '' END, text) AS evidence, 'deterministic' AS method FROM y"""
+)
+def pdf_findings(spark, sf):
+    """Findings of page documents, a row each."""
+    return visibility.pdf_findings(_spans(spark), visibility.classify_trace(spark.sql(f"SELECT * FROM {_TRACE}")), spark.sql(f"SELECT * FROM {_FORMS}"), _fonts(spark))
+
+
+@query(
+    f"""WITH s AS (SELECT doc, page, ord, trim(text) AS t, state IN ('visible', 'faint') AS seen FROM {_SPANS} JOIN {_STATES} USING (doc, page, ord) WHERE trim(text) <> ''),
+    g AS (SELECT doc, page, string_agg(t, ' ' ORDER BY ord) FILTER (seen) AS v, string_agg(t, ' ' ORDER BY ord) FILTER (NOT seen) AS h FROM s GROUP BY 1, 2 UNION ALL SELECT doc, 99, NULL, form FROM {_FORMS} WHERE length(form) >= 12)
+    SELECT doc, coalesce(string_agg(v, chr(10) ORDER BY page), '') AS visible, coalesce(string_agg(h, chr(10) ORDER BY page), '') AS hidden FROM g GROUP BY 1"""
+)
+def pdf_texts(spark, sf):
+    return visibility.pdf_texts(_spans(spark), spark.sql(f"SELECT * FROM {_FORMS}"))
+
+
+@query(f"SELECT doc, page, ord, CASE WHEN x1 < 0 OR x0 > 595 THEN 'offpage' WHEN type = 3 OR opacity < 0.051 THEN 'invisible_region' END AS state FROM {_TRACE}")
+def trace_states(spark, sf):
+    return visibility.classify_trace(spark.sql(f"SELECT * FROM {_TRACE}")).select("doc", "page", "ord", "state")
+
+
+@query(f"SELECT doc, font, n_remapped, payload FROM {_PAYLOADS}")
+def remapped_fonts(spark, sf):
+    return _fonts(spark).select("doc", "font", F.col("n_remapped").cast("long").alias("n_remapped"), "payload")
+
+
+@query(f"SELECT t.doc, CASE WHEN payload IS NOT NULL AND contains(visible, payload) THEN concat(split_part(visible, payload, 1), substr(visible, length(split_part(visible, payload, 1)) + length(payload) + 1)) ELSE visible END AS visible, payload AS hidden FROM (VALUES ('P1', 'name xyz and xyz'), ('P2', 'xyz'), ('P3', NULL)) AS t(doc, visible) LEFT JOIN {_PAYLOADS} p ON t.doc = p.doc")
+def payload_removed(spark, sf):
+    """Visible texts without what remapped fonts spell."""
+    return visibility.without_payload(spark.sql("SELECT * FROM VALUES ('P1', 'name xyz and xyz'), ('P2', 'xyz'), ('P3', NULL) AS t(doc, visible)"), _fonts(spark))

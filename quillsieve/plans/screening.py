@@ -465,12 +465,6 @@ def span_cascade(spark, sf):
     return visibility.classify_spans(s).select("ord", "state")
 
 
-@query()
-def remapped_fonts(spark, sf):
-    f = spark.sql("SELECT * FROM VALUES ('F1', false, map(65, 'x', 66, 'y', 67, 'z', 68, 'D')), ('F2', true, map(65, 'x', 66, 'y', 67, 'z')), ('F3', false, map(65, 'x', 66, 'B')) AS t(font, embedded, cmap)")
-    return visibility.remapped(f).select("font", F.col("n_remapped").cast("long").alias("n_remapped"), "payload")
-
-
 @query(f"SELECT a, b, round((greatest({_lum_sql('a')}, {_lum_sql('b')}) + 0.05) / (least({_lum_sql('a')}, {_lum_sql('b')}) + 0.05), 3) AS contrast FROM (VALUES ('FEFEFE', 'FFFFFF'), ('D0D0D0', 'FFFFFF'), ('333333', 'FFFFFF'), ('FFFFFF', '1F2937')) AS t(a, b)")
 def contrast_pairs(spark, sf):
     return spark.sql("SELECT * FROM VALUES ('FEFEFE', 'FFFFFF'), ('D0D0D0', 'FFFFFF'), ('333333', 'FFFFFF'), ('FFFFFF', '1F2937') AS t(a, b)").withColumn("contrast", F.round(color.contrast(F.col("a"), F.col("b")), 3))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_STREAM = re.compile(rb"(<<(?:[^<>]|<[^<]|>[^>]|<<.*?>>)*>>)\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_BEGIN = re.compile(rb"(?<!end)stream\r?\n")
 _LITERAL = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
 _HEX = re.compile(rb"<([0-9A-Fa-f\s]+)>")
 _OBJECT = re.compile(rb"(?:^|\s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
@@ -52,17 +52,35 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _pieces(content: bytes) -> Iterator[tuple[bytes, bytes | None]]:
+    """(what stands before a stream, its raw bytes) in order, and what follows the last with None.
+
+    A keyword begins a stream only after a dictionary; a stream that isn't closed ends with the file. Every byte is
+    looked at a bounded number of times, whatever is nested.
+    """
+    at = 0
+    for m in _BEGIN.finditer(content):
+        if m.start() < at or not content[max(at, m.start() - 16) : m.start()].rstrip().endswith(b">>"):
+            continue
+        end = content.find(b"endstream", m.end())
+        end = len(content) if end < 0 else end
+        yield content[at : m.start()], re.sub(rb"\r?\n$", b"", content[m.end() : end])
+        at = end
+    yield content[at:], None
+
+
 def streams(content: bytes) -> Iterator[bytes]:
-    """The streams in order, unfolded where they are deflated."""
-    for m in _STREAM.finditer(content):
-        yield inflate(m[2]) if b"FlateDecode" in m[1] else m[2]
+    """The streams in order, unfolded where their dictionary says that they are deflated."""
+    for head, data in _pieces(content):
+        if data is not None:
+            yield inflate(data) if b"FlateDecode" in head[head.rfind(b"obj") + 1 :] else data
 
 
 def raw_text(content: bytes | None) -> str:
     """The literal strings of all streams, a line per stream, and of the file's own bytes outside them, a line."""
     if not content:
         return ""
-    outside = _STREAM.sub(rb"\1 ", content)
+    outside = b" ".join([head for head, _ in _pieces(content)])
     lines = [" ".join([unescape(x) for x in _LITERAL.findall(s)]) for s in (*streams(content), outside)]
     return "\n".join([x for x in lines if x.strip()])
 
@@ -104,15 +122,22 @@ def fonts(content: bytes) -> list[dict]:
     return found
 
 
+_XFA = re.compile(rb"/XFA\s*(\[[^\]]*\]|\d+\s+\d+\s+R)")
+
+
 def xfa(content: bytes) -> str:
-    """The text of form streams, tags removed; empty where there is no form."""
-    if b"/XFA" not in content:
-        return ""
-    return "\n".join([re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", s.decode("utf-8", "replace"))).strip() for s in streams(content) if b"<xdp" in s or b"<template" in s or b"<xfa:" in s])
+    """The text of the form's streams, tags removed, be it one or a list of parts; empty where there is no form."""
+    all_, out = None, []
+    for m in _XFA.finditer(content):
+        all_ = objects(content) if all_ is None else all_
+        for n in re.findall(rb"(\d+)\s+\d+\s+R", m[1]):
+            for s in streams(all_.get(int(n), b"")):
+                out.append(re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", s.decode("utf-8", "replace"))).strip())
+    return "\n".join([x for x in out if x])
 
 
 def read(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(doc, text, form, ok, error) of the PDF files in a ``binaryFile`` table."""
+    """(doc, text, form, has_form, ok, error) of the PDF files in a ``binaryFile`` table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,12 +146,12 @@ def read(files: DataFrame, name: str = "path", content: str = "content") -> Data
                 try:
                     if not c or not c.lstrip()[:5] == b"%PDF-":
                         raise ValueError("not a PDF file")
-                    rows.append((n, raw_text(c), xfa(c), True, None))
+                    rows.append((n, raw_text(c), xfa(c), b"/XFA" in c, True, None))
                 except Exception as e:  # one bad file must not fail the batch
-                    rows.append((n, None, None, False, str(e)[:300]))
-            yield pd.DataFrame(rows, columns=["doc", "text", "form", "ok", "error"])
+                    rows.append((n, None, None, None, False, str(e)[:300]))
+            yield pd.DataFrame(rows, columns=["doc", "text", "form", "has_form", "ok", "error"])
 
-    return files.select(name, content).mapInPandas(run, "doc string, text string, form string, ok boolean, error string")
+    return files.select(name, content).mapInPandas(run, "doc string, text string, form string, has_form boolean, ok boolean, error string")
 
 
 def read_fonts(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:

@@ -14,10 +14,6 @@ def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() >= 1
 
 
-def test_remapped_fonts(spark, sf):
-    assert [tuple(r) for r in registry.QUERIES["remapped_fonts"](spark, sf).collect()] == [("F1", 3, "xyz")]
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
