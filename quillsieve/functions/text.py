@@ -108,16 +108,20 @@ def extension(name: Column) -> Column:
 
 
 def snippet(text: Column, word: Column, around: int = 45) -> Column:
-    """The first occurrence of a word, whatever its case, with ``around`` characters on both sides and an ellipsis where
-    text is cut; null without an occurrence."""
+    """The first occurrence of a word, whatever its case, with ``around`` characters on both sides, white space runs as one
+    space, and an ellipsis where text is cut; null without an occurrence."""
     at = F.position(F.lower(word), F.lower(text))
     start = F.greatest(at - F.lit(around), F.lit(1))
     size = at - start + F.length(word) + F.lit(around)
-    cut = F.concat(F.when(start > 1, "…").otherwise(""), F.substr(text, start, size), F.when(start + size <= F.length(text), "…").otherwise(""))
+    cut = F.concat(F.when(start > 1, "…").otherwise(""), F.trim(F.regexp_replace(F.substr(text, start, size), _SPACE, " ")), F.when(start + size <= F.length(text), "…").otherwise(""))
     return F.when((at > 0) & (F.length(word) > 0), cut)
 
 
+#: Types of documents.
+DOCUMENT_TYPES = ("cv", "cover_letter", "job_posting", "other", "certificate", "diploma", "reference", "job_ad", "portfolio")
+
+
 def document_type(raw: Column) -> Column:
-    """cv, cover_letter, certificate, diploma, reference, job_ad or other spellings of them; anything else is a cv."""
+    """One of ``DOCUMENT_TYPES`` in whatever spelling; anything else is a cv, so no applicant is hidden."""
     t = F.regexp_replace(F.lower(F.trim(raw)), "[ -]+", "_")
-    return F.when(t.isin("cv", "cover_letter", "certificate", "diploma", "reference", "job_ad", "portfolio"), t).otherwise(F.lit("cv"))
+    return F.when(t.isin(*DOCUMENT_TYPES), t).otherwise(F.lit("cv"))

@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.text import fold
 
 #: Words beside a language's name, folded.
 LANGUAGE_STOP = ("jazyk", "language", "sprache", "langue", "idioma", "jezyk")
 STEM = 4
-#: Level rules in order (pattern on the folded phrase, level, stated).
+#: Level rules in order (pattern on the folded phrase, level, whether it is stated, source). Of a range the
+#: lower level counts, so tokens ascend; the rules after the scales are for German phrases.
 LEVEL_RULES = (
-    (r"(?<![a-z0-9])c2(?![a-z0-9])", "C2", True), (r"(?<![a-z0-9])c1(?![a-z0-9])", "C1", True), (r"(?<![a-z0-9])b2(?![a-z0-9])", "B2", True),
-    (r"(?<![a-z0-9])b1(?![a-z0-9])", "B1", True), (r"(?<![a-z0-9])a2(?![a-z0-9])", "A2", True), (r"(?<![a-z0-9])a1(?![a-z0-9])", "A1", True),
-    ("near.?native|mastery|mistrovsk|nahezu mutter", "C2", False), ("native|mother tongue|rodil|matersk|muttersprach", "native", False),
-    ("fluent|plynn|plynul|verhandlungssicher|advanced prof", "C1", False), ("upper.?intermediate|vantage|gute kenntnisse|pokrocila znalost", "B2", False),
-    ("intermediate|conversational|konversation|komunikativ|mittelstufe|stredne pokrocil|domluvim", "B1", False), ("pokrocil", "B2", False),
-    ("elementary|basic|zaklad|grundkenntnisse|waystage", "A2", False), ("beginner|zacatecnik|anfanger|breakthrough|just started", "A1", False),
-)
+    *[(rf"(?<![a-z0-9]){t.lower()}(?![a-z0-9])", t, True, "CEFR token") for t in ("A1", "A2", "B1", "B2", "C1", "C2")],
+    ("native|mother ?tongue|bilingual|rodil|matersk|materstin|rodny jazyk", "native", True, "native"),
+    ("full professional|pln[ae] profes", "C2", False, "ILR"),
+    ("professional working|profesional|profesn|umoznujici profes", "C1", False, "ILR"),
+    ("fluent|plynul|plynne|temer rodil", "C1", False, "fluent"),
+    ("limited working|upper[- ]?intermediate|vyssi (?:stredn|pokro)", "B2", False, "ILR"),
+    ("(?:mirne|stredne) pokrocil|intermediate|conversational|konverzac|komunikativn|domluv", "B1", False, "intermediate"),
+    ("advanced|pokrocil", "B2", False, "advanced"),
+    ("elementary|zaklad|basic", "A2", False, "elementary"),
+    ("beginner|zacatecnik", "A1", False, "beginner"),
+    ("muttersprach", "native", True, "native"),
+    ("verhandlungssicher|fliessend|fließend", "C1", False, "fluent"),
+    ("gute kenntnisse|fortgeschritten", "B2", False, "advanced"),
+    ("mittelstufe|konversation", "B1", False, "intermediate"),
+    ("grundkenntnisse", "A2", False, "elementary"),
+    ("anfanger", "A1", False, "beginner"),
+)
+#: Rank and group of each level, and points of a level out of ten.
+LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2", "native")
+LEVEL_POINTS = {"A1": 0.0, "A2": 0.0, "B1": 4.0, "B2": 7.0, "C1": 9.0, "C2": 10.0, "native": 10.0}
 
 
 def has_skill(have: Column, wanted: Column) -> Column:
@@ -59,17 +72,53 @@ def language_codes(values: DataFrame, dictionary: DataFrame, value: str) -> Data
     return v.select("value").join(best, "value", "left")
 
 
-def level_of(phrase: Column) -> tuple[Column, Column]:
-    """(level, stated): the first rule that a phrase meets; null without one."""
+def level_of(phrase: Column) -> Column:
+    """struct(level, matched, stated, source): the first rule that a phrase meets and what it matched of the folded phrase;
+    null members and stated false without one. Fold the phrase once before, where it is used more than once."""
     f = fold(phrase)
-    level = stated = None
-    for rx, name, said in LEVEL_RULES:
-        level = F.when(f.rlike(rx), name) if level is None else level.when(f.rlike(rx), name)
-        stated = F.when(f.rlike(rx), said) if stated is None else stated.when(f.rlike(rx), said)
-    return level, stated
+    out = None
+    for rx, name, said, source in LEVEL_RULES:
+        hit = F.struct(F.lit(name).alias("level"), F.regexp_extract(f, rx, 0).alias("matched"), F.lit(said).alias("stated"), F.lit(source).alias("source"))
+        out = F.when(f.rlike(rx), hit) if out is None else out.when(f.rlike(rx), hit)
+    none = F.lit(None).cast("string")
+    return out.otherwise(F.struct(none.alias("level"), none.alias("matched"), F.lit(False).alias("stated"), none.alias("source")))
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per keys, the first in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def level_rank(level: Column) -> Column:
+    """1 (A1) to 7 (native); null for anything else."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level), F.lit(0))
+
+
+def level_group(level: Column) -> Column:
+    """Basic, Independent or Proficient user, or Native."""
+    return F.when(level == "native", "Native").when(F.startswith(level, F.lit("A")), "Basic").when(F.startswith(level, F.lit("B")), "Independent").when(F.startswith(level, F.lit("C")), "Proficient")
+
+
+def same_language(values: DataFrame, wanted: list[str], dictionary: DataFrame, value: str) -> DataFrame:
+    """(value, wanted): the distinct typed names that mean a wanted language. Two known names do if their codes are equal;
+    if either is unknown, the folded names must be equal, or one of at least four letters must begin the other. Part of a
+    name never counts. wanted is a short list of parameters."""
+    spark = values.sparkSession
+    asked = F.broadcast(language_codes(spark.createDataFrame([(w,) for w in dict.fromkeys(wanted)], "value string"), dictionary, "value").select(F.col("value").alias("wanted"), F.col("code").alias("wanted_code"), fold(F.col("value")).alias("g")))
+    typed = language_codes(values, dictionary, value).withColumn("f", fold(F.col("value")))
+    begins = lambda a, b: (F.length(a) >= STEM) & F.startswith(F.col(b), F.col(a))
+    named = (F.col("f") != "") & (F.col("g") != "") & ((F.col("f") == F.col("g")) | begins("f", "g") | begins("g", "f"))
+    both = F.col("code").isNotNull() & F.col("wanted_code").isNotNull()
+    return typed.join(asked, F.when(both, F.col("code") == F.col("wanted_code")).otherwise(named)).select("value", "wanted")
+
+
+def language_score(langs: DataFrame, wanted: list[str], dictionary: DataFrame, key: str) -> DataFrame:
+    """(key, score, known, basis) of the wanted languages.
+
+    langs: key, language, level_raw, level, ord. Of each wanted language the best points among its rows with a known level
+    count (level_raw before level; of equal points the first), none counts 0; the score is their mean over all wanted. It
+    is known if any is, and stated if all known ones are, else inferred. Keys without a row have none.
+    """
+    phrase = langs.select(key, "ord", F.col("language").alias("value"), fold(F.coalesce("level_raw", "level")).alias("phrase")).where(F.col(key).isNotNull())
+    same = F.broadcast(same_language(langs.select("language"), wanted, dictionary, "language"))  # distinct names of len(wanted) languages, mapped from a short dictionary
+    points = F.create_map(*[F.lit(x) for kv in LEVEL_POINTS.items() for x in kv])
+    met = phrase.join(same, "value").withColumn("l", level_of(F.col("phrase"))).where("l.level IS NOT NULL")
+    best = met.groupBy(key, "wanted").agg(F.max(F.struct(points[F.col("l.level")].alias("p"), (-F.col("ord")).alias("o"), F.col("l.stated").alias("stated"))).alias("b"))
+    per = best.groupBy(key).agg((F.sum("b.p") / len(dict.fromkeys(wanted))).alias("score"), F.bool_and("b.stated").alias("stated"))
+    every = phrase.select(key).distinct().join(per, key, "left")
+    return every.select(key, F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("known"), F.when(F.col("score").isNull(), "unknown").when(F.col("stated"), "stated").otherwise("inferred").alias("basis"))

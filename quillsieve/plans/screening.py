@@ -105,9 +105,12 @@ def escalated_findings(spark, sf):
     return f.select("flag_id", findings.escalate(F.col("severity"), findings.instruction(F.col("evidence"), broad=True)).alias("severity"), F.substring("evidence", 1, findings.CLIP).alias("evidence"))
 
 
-@query()
+@query(
+    rf"""WITH s AS (SELECT scan_id, hidden_text AS t, string_split(regexp_replace(replace(hidden_text, chr(10), chr(1)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM {_S} WHERE hidden_text <> '')
+    SELECT scan_id, substr(coalesce(list_filter(p, lambda x: regexp_matches({_fold_sql('x')}, '{findings.OVERRIDE}'))[1], t), 1, 300) AS context FROM s"""
+)
 def instruction_context(spark, sf):
-    """Hidden texts with the sentence that holds the instruction; SQL lacks the look-behind split."""
+    """Hidden texts with the sentence that holds the instruction."""
     return _scans(spark, sf, "hidden_text").where("hidden_text <> ''").select("scan_id", findings.context(F.col("hidden_text")).alias("context"))
 
 
@@ -149,10 +152,10 @@ def skill_overlap(spark, sf):
 
 
 @query(
-    f"""WITH k AS (SELECT DISTINCT candidate_id, trim(name) AS skill FROM q_skills WHERE length(trim(name)) > 1),
+    rf"""WITH k AS (SELECT DISTINCT candidate_id, trim(name) AS skill FROM q_skills WHERE length(trim(name)) > 1),
     m AS (SELECT scan_id, skill, visible_text AS t, position(lower(skill) IN lower(visible_text)) AS p FROM {_S} JOIN k USING (candidate_id)),
     w AS (SELECT *, greatest(p - 45, 1) AS a, p - greatest(p - 45, 1) + length(skill) + 45 AS n FROM m WHERE p > 0)
-    SELECT scan_id, skill, concat(CASE WHEN a > 1 THEN '…' ELSE '' END, substr(t, a, n), CASE WHEN a + n <= length(t) THEN '…' ELSE '' END) AS snippet FROM w"""
+    SELECT scan_id, skill, concat(CASE WHEN a > 1 THEN '…' ELSE '' END, trim(regexp_replace(substr(t, a, n), '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+', ' ', 'g')), CASE WHEN a + n <= length(t) THEN '…' ELSE '' END) AS snippet FROM w"""
 )
 def skill_snippets(spark, sf):
     k = table(spark, sf, "q_skills").select("candidate_id", F.trim("name").alias("skill")).where(F.length("skill") > 1).distinct()
@@ -180,16 +183,75 @@ def language_codes(spark, sf):
     return matching.language_codes(table(spark, sf, "q_languages"), _forms(spark, sf), "language")
 
 
-# The look-around of the first rules is a word boundary on folded text, which RE2 writes as \b.
-_RULES = " ".join(rf"WHEN regexp_matches(f, '{rx.replace('(?<![a-z0-9])', r'\b').replace('(?![a-z0-9])', r'\b')}') THEN '{name}'" for rx, name, _ in matching.LEVEL_RULES)
-_STATED = " ".join(rf"WHEN regexp_matches(f, '{rx.replace('(?<![a-z0-9])', r'\b').replace('(?![a-z0-9])', r'\b')}') THEN {said}" for rx, _, said in matching.LEVEL_RULES)
+# Written apart from the operator's rules; (level, stated, source, pattern that RE2 takes).
+_LEVEL_CASES = [
+    ("A1", True, "CEFR token", "(^|[^a-z0-9])a1($|[^a-z0-9])"), ("A2", True, "CEFR token", "(^|[^a-z0-9])a2($|[^a-z0-9])"), ("B1", True, "CEFR token", "(^|[^a-z0-9])b1($|[^a-z0-9])"),
+    ("B2", True, "CEFR token", "(^|[^a-z0-9])b2($|[^a-z0-9])"), ("C1", True, "CEFR token", "(^|[^a-z0-9])c1($|[^a-z0-9])"), ("C2", True, "CEFR token", "(^|[^a-z0-9])c2($|[^a-z0-9])"),
+    ("native", True, "native", "native|mother tongue|mothertongue|bilingual|rodil|matersk|materstin|rodny jazyk"), ("C2", False, "ILR", "full professional|plna profes|plne profes"),
+    ("C1", False, "ILR", "professional working|profesional|profesn|umoznujici profes"), ("C1", False, "fluent", "fluent|plynul|plynne|temer rodil"),
+    ("B2", False, "ILR", "limited working|upper.intermediate|upperintermediate|vyssi stredn|vyssi pokro"), ("B1", False, "intermediate", "mirne pokrocil|stredne pokrocil|intermediate|conversational|konverzac|komunikativn|domluv"),
+    ("B2", False, "advanced", "advanced|pokrocil"), ("A2", False, "elementary", "elementary|zaklad|basic"), ("A1", False, "beginner", "beginner|zacatecnik"), ("native", True, "native", "muttersprach"),
+    ("C1", False, "fluent", "verhandlungssicher|fliessend|fließend"), ("B2", False, "advanced", "gute kenntnisse|fortgeschritten"), ("B1", False, "intermediate", "mittelstufe|konversation"),
+    ("A2", False, "elementary", "grundkenntnisse"), ("A1", False, "beginner", "anfanger"),
+]
+
 
+def _level_sql(f: str, part: int) -> str:
+    value = lambda c: "true" if c[part] is True else "false" if c[part] is False else f"'{c[part]}'"
+    return "CASE " + " ".join(f"WHEN regexp_matches({f}, '{c[3]}') THEN {value(c)}" for c in _LEVEL_CASES) + (" ELSE false" if part == 1 else "") + " END"
 
-@query(f"WITH v AS (SELECT row_id, any_value({_fold_sql('level_raw')}) AS f FROM q_languages WHERE level_raw IS NOT NULL GROUP BY 1) SELECT CASE {_RULES} END AS level, CASE {_STATED} END AS stated, count(*) AS n FROM v GROUP BY 1, 2")
+
+@query(f"WITH v AS (SELECT row_id, any_value({_fold_sql('level_raw')}) AS f FROM q_languages WHERE level_raw IS NOT NULL GROUP BY 1) SELECT {_level_sql('f', 0)} AS level, {_level_sql('f', 1)} AS stated, {_level_sql('f', 2)} AS source, count(*) AS n FROM v GROUP BY 1, 2, 3")
 def level_rules(spark, sf):
-    level, stated = matching.level_of(F.col("level_raw"))
+    """Levels of typed phrases; each distinct phrase is looked up once."""
     v = table(spark, sf, "q_languages").where("level_raw IS NOT NULL").select("row_id", "level_raw").dropDuplicates(["row_id"])
-    return v.groupBy(level.alias("level"), stated.alias("stated")).agg(F.count("*").alias("n"))
+    each = v.groupBy(text.fold(F.col("level_raw")).alias("f")).agg(F.count("*").alias("n")).withColumn("l", matching.level_of(F.col("f")))
+    return each.groupBy("l.level", "l.stated", "l.source").agg(F.sum("n").alias("n"))
+
+
+_PHRASES = "(VALUES ('B2/C1'), ('C1 - C2'), ('level: a2'), ('native speaker'), ('near-native'), ('bilingual'), ('full professional proficiency'), ('professional working'), ('limited working proficiency'), ('Upper-Intermediate'), ('pre-intermediate'), ('mírně pokročilá'), ('pokročilá'), ('základy'), ('úplný začátečník'), ('rodilý mluvčí'), ('mateřština'), ('plynně'), ('fließend'), (''), ('xc1x'), (NULL)) AS p(phrase)"
+# The levels by hand.
+_PHRASE_LEVELS = """(VALUES ('B2/C1', 'B2', 'b2', true), ('C1 - C2', 'C1', 'c1', true), ('level: a2', 'A2', 'a2', true), ('native speaker', 'native', 'native', true), ('near-native', 'native', 'native', true), ('bilingual', 'native', 'bilingual', true),
+ ('full professional proficiency', 'C2', 'full professional', false), ('professional working', 'C1', 'professional working', false), ('limited working proficiency', 'B2', 'limited working', false), ('Upper-Intermediate', 'B2', 'upper-intermediate', false),
+ ('pre-intermediate', 'B1', 'intermediate', false), ('mírně pokročilá', 'B1', 'mirne pokrocil', false), ('pokročilá', 'B2', 'pokrocil', false), ('základy', 'A2', 'zaklad', false), ('úplný začátečník', 'A1', 'zacatecnik', false), ('rodilý mluvčí', 'native', 'rodil', true),
+ ('mateřština', 'native', 'materstin', true), ('plynně', 'C1', 'plynne', false), ('fließend', 'C1', 'fließend', false), ('', NULL, NULL, false), ('xc1x', NULL, NULL, false), (NULL, NULL, NULL, false)) AS w(phrase, level, matched, stated)"""
+
+
+@query(f"SELECT phrase, level, matched, stated FROM {_PHRASE_LEVELS}")
+def level_phrases(spark, sf):
+    """Levels of phrases chosen to show the order of the rules."""
+    p = spark.sql(f"SELECT * FROM {_PHRASES}").withColumn("l", matching.level_of(F.col("phrase")))
+    return p.select("phrase", "l.level", "l.matched", "l.stated")
+
+
+#: The languages that the language queries ask for; a parameter. One of them is in no dictionary.
+ASKED = ["anglický jazyk", "Deutsch", "Esperanto"]
+_DICT = f"""d AS (SELECT ref_id AS code, {_fold_sql('form')} AS form, concat(ref_id, '#', lpad(k::VARCHAR, 3, '0')) AS ord FROM (SELECT ref_id, unnest(list_concat([label, label_cs, label_de], coalesce(aliases, []))) AS form, unnest(range(len(list_concat([label, label_cs, label_de], coalesce(aliases, []))))) AS k FROM ref_values WHERE ref_kind = 'lang') WHERE form IS NOT NULL),
+    v AS (SELECT DISTINCT language AS value FROM q_languages WHERE language IS NOT NULL UNION SELECT unnest(['anglický jazyk', 'Deutsch', 'Esperanto'])), u AS (SELECT value, {_fold_sql('value')} AS f FROM v),
+    x AS (SELECT value, f, coalesce(list_filter(string_split(f, ' '), lambda w: w <> '' AND NOT list_contains(['jazyk', 'language', 'sprache', 'langue', 'idioma', 'jezyk'], w))[1], '') AS w FROM u),
+    m AS (SELECT value, code, 0 AS phase, ord FROM x JOIN d ON f = form AND form <> '' UNION ALL SELECT value, code, 1, ord FROM x JOIN d ON length(w) >= 4 AND length(form) >= 4 AND (starts_with(form, w) OR starts_with(w, form))),
+    b AS (SELECT value, f, (SELECT arg_min(code, (phase, ord)) FROM m WHERE m.value = u.value) AS code FROM u),
+    same AS (SELECT a.value, w.value AS wanted FROM b a JOIN b w ON w.value IN ('anglický jazyk', 'Deutsch', 'Esperanto') AND CASE WHEN a.code IS NOT NULL AND w.code IS NOT NULL THEN a.code = w.code ELSE a.f <> '' AND (a.f = w.f OR (length(a.f) >= 4 AND starts_with(w.f, a.f)) OR (length(w.f) >= 4 AND starts_with(a.f, w.f))) END
+      WHERE a.value IN (SELECT language FROM q_languages))"""
+
+
+@query(f"WITH {_DICT} SELECT value, wanted FROM same")
+def same_languages(spark, sf):
+    """Which typed names mean a wanted language."""
+    return matching.same_language(table(spark, sf, "q_languages").select("language"), ASKED, _forms(spark, sf), "language")
+
+
+@query(
+    f"""WITH {_DICT}, t AS (SELECT DISTINCT row_id, candidate_id, ord, language, {_fold_sql('coalesce(level_raw, level)')} AS f FROM q_languages WHERE candidate_id IS NOT NULL),
+    g AS (SELECT candidate_id, wanted, ord, {_level_sql('f', 0)} AS l, {_level_sql('f', 1)} AS said FROM t JOIN same ON value = language),
+    q AS (SELECT *, CASE l WHEN 'B1' THEN 4.0 WHEN 'B2' THEN 7.0 WHEN 'C1' THEN 9.0 WHEN 'C2' THEN 10.0 WHEN 'native' THEN 10.0 ELSE 0.0 END::DOUBLE AS p FROM g WHERE l IS NOT NULL),
+    y AS (SELECT candidate_id, wanted, max(p) AS p, arg_max(said, (p, -ord, said)) AS said FROM q GROUP BY 1, 2), z AS (SELECT candidate_id, sum(p) / 3 AS score, bool_and(said) AS said FROM y GROUP BY 1)
+    SELECT c.candidate_id, coalesce(score, 0) AS score, score IS NOT NULL AS known, CASE WHEN score IS NULL THEN 'unknown' WHEN said THEN 'stated' ELSE 'inferred' END AS basis FROM (SELECT DISTINCT candidate_id FROM t) c LEFT JOIN z USING (candidate_id)"""
+)
+def language_scores(spark, sf):
+    """Points of the wanted languages, their mean over all wanted, and whether they are known and stated."""
+    langs = table(spark, sf, "q_languages").select("candidate_id", "ord", "language", "level_raw", "level")
+    return matching.language_score(langs, ASKED, _forms(spark, sf), "candidate_id")
 
 
 @query("WITH k AS (SELECT candidate_id, lower(trim(name)) AS k, name, ord, row_id FROM q_skills WHERE trim(name) <> '') SELECT candidate_id, k AS skill_key, arg_min(name, (ord, row_id)) AS name FROM k GROUP BY 1, 2")
@@ -244,7 +306,7 @@ def readers(spark, sf):
     return e.groupBy("extension", reader.alias("reader")).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
-@query(f"WITH t AS (SELECT regexp_replace(lower(trim(doc_type)), '[ -]+', '_', 'g') AS t FROM {_S}) SELECT CASE WHEN t IN ('cv', 'cover_letter', 'certificate', 'diploma', 'reference', 'job_ad', 'portfolio') THEN t ELSE 'cv' END AS doc_type, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH t AS (SELECT regexp_replace(lower(trim(doc_type)), '[ -]+', '_', 'g') AS t FROM {_S}) SELECT CASE WHEN t IN ('cv', 'cover_letter', 'job_posting', 'other', 'certificate', 'diploma', 'reference', 'job_ad', 'portfolio') THEN t ELSE 'cv' END AS doc_type, count(*) AS n FROM t GROUP BY 1")
 def document_types(spark, sf):
     return _scans(spark, sf, "doc_type").groupBy(text.document_type(F.col("doc_type")).alias("doc_type")).agg(F.count("*").alias("n"))
 
