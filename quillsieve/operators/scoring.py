@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import cut
+from ..functions.text import fold
+from .matching import has_skill
+
 
 def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -20,9 +24,10 @@ def numeric_scale(v: Column, low: float, high: float) -> Column:
     return F.when(v.isNull(), 5.0).otherwise(clamp((v - low) / (high - low)) * 10)
 
 
-def best_points(points: Column) -> Column:
-    """The largest of an array of points; 0 where there are none."""
-    return F.coalesce(F.array_max(points), F.lit(0.0))
+def category_points(points: Column, average: bool = False) -> Column:
+    """The largest of an array of points, or their mean; 0 where there are none."""
+    mean = F.aggregate(points, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(points), F.lit(0))
+    return F.coalesce(mean if average else F.array_max(points), F.lit(0.0))
 
 
 def tenure(mean_months: Column, floor: float = 6.0, full: float = 24.0) -> Column:
@@ -51,5 +56,57 @@ def total(scores: list[tuple[Column, float]]) -> Column:
 
 
 def rank(scored: DataFrame, by: list[Column], group: list[str], name: str = "rank") -> DataFrame:
-    """Adds a unique rank within each group; an unbounded group is sorted by its own key, never the whole table by one task."""
+    """Adds a unique rank within each group; each group is sorted by one task, so for few of each group (a filter on the
+    rank, which limits before the shuffle) or groups of bounded size. ``ranked`` splits large groups."""
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
+
+
+def breakdown(answers: DataFrame, key: str, weights: dict[str, float], required: list[str], points: dict[str, float], years: tuple[float, float] = (0.0, 8.0)) -> DataFrame:
+    """(key, criterion, weight, score, contribution, known, basis): a row per criterion of ``weights`` of every answer.
+
+    answers: key, q as ``extraction.qualification`` has it. years, skills (shares of ``required`` met, known where any are
+    required, stated where a matching skill has evidence), education (best of ``points`` by folded level), tenure (mean of
+    known months) and certifications (a bonus). Unknown is kept apart from zero.
+    """
+    q = lambda path: F.col(f"q.{path}")
+    names = F.array_distinct(F.filter(F.transform(q("skills"), lambda s: fold(s["name"])), lambda n: n != ""))
+    wanted = F.array(*[fold(F.lit(w)) for w in required])
+    a = answers.withColumn("__names", names).withColumn("__hits", F.filter(wanted, lambda w: F.exists("__names", lambda h: has_skill(h, w))))
+    said = F.exists(q("skills"), lambda s: (F.coalesce(s["evidence"], F.lit("")) != "") & F.exists(wanted, lambda w: has_skill(fold(s["name"]), w)))
+    by = F.create_map(*[F.lit(x) for kv in points.items() for x in kv])
+    levels = F.transform(q("education"), lambda e: F.coalesce(F.try_element_at(by, fold(e["level"])), F.lit(0.0)))
+    months = F.filter(F.transform(q("experience"), lambda e: e["months"]), lambda m: m.isNotNull())
+    mean = F.aggregate(months, F.lit(0.0), lambda x, m: x + m) / F.nullif(F.size(months), F.lit(0))
+    stated = lambda known: F.when(known, "stated").otherwise("unknown")
+    some = F.lit(bool(required))
+    every = {
+        "years": (numeric_scale(q("years"), *years), q("years").isNotNull(), stated(q("years").isNotNull())),
+        "skills": (F.size("__hits") * 10.0 / max(1, len(required)), some, F.when(~some, "unknown").when(said, "stated").otherwise("inferred")),
+        "education": (category_points(levels), F.size(levels) > 0, stated(F.size(levels) > 0)),
+        "tenure": (tenure(mean), mean.isNotNull(), stated(mean.isNotNull())),
+        "certifications": (bonus(F.size(q("certifications"))), F.lit(True), F.lit("stated")),
+    }
+    whole = sum(weights.values()) or 1.0
+    row = lambda n: F.struct(F.lit(n).alias("criterion"), F.lit(weights[n]).alias("weight"), every[n][0].alias("score"), (F.lit(weights[n]) / F.lit(whole) * every[n][0] * 10).alias("contribution"), every[n][1].alias("known"), every[n][2].alias("basis"))
+    return a.select(key, F.explode(F.array(*[row(n) for n in weights])).alias("r")).select(key, "r.*")
+
+
+def state(score: Column, known: Column) -> Column:
+    """unknown, strong (from 7.5), partial (from 4) or weak."""
+    return F.when(~known, "unknown").when(score >= 7.5, "strong").when(score >= 4, "partial").otherwise("weak")
+
+
+def ranked(scored: DataFrame, group: str, by: list[Column], parts: int = 0) -> DataFrame:
+    """Adds rank (unique within the group, in the order ``by``) and n (the group's size), whatever share of the rows one
+    group has: rows are sorted by ranges over all tasks, so a group larger than a task is split, and each task's place in
+    its groups comes from counts by task and group. Ties that ``by`` leaves open are broken by no rule; order by a key last.
+    """
+    spark = scored.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(scored.repartitionByRange(parts, F.col(group), *by).sortWithinPartitions(F.col(group), *by).withColumn("__task", F.spark_partition_id()))
+    counts = placed.groupBy(group, "__task").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("__c").over(Window.partitionBy(group)))
+    within = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__task", group).orderBy(*by)))
+    met = within.alias("w").join(offsets.alias("o"), F.col("w.__task").eqNullSafe(F.col("o.__task")) & F.col(f"w.{group}").eqNullSafe(F.col(f"o.{group}")))
+    return met.select("w.*", (F.col("o.__before") + F.col("w.__i")).alias("rank"), F.col("o.n").alias("n")).drop("__i", "__task")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import nested, scanning, screening
+from . import facts, nested, scanning, screening
 
 FLAGSHIP = screening.ranked_candidates
-QUERIES = {**screening.QUERIES, **nested.QUERIES, **scanning.QUERIES}
-SQL = {**screening.SQL, **nested.SQL, **scanning.SQL}
+QUERIES = {**screening.QUERIES, **nested.QUERIES, **scanning.QUERIES, **facts.QUERIES}
+SQL = {**screening.SQL, **nested.SQL, **scanning.SQL, **facts.SQL}

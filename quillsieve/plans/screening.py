@@ -424,14 +424,14 @@ def _scored(spark, sf):
     points = lambda c, m: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in m.items() for x in p]), c), F.lit(0)).cast("double")
     e = table(spark, sf, "q_education").groupBy("candidate_id").agg(F.max(points(F.lower(F.trim("level")), _POINTS)).alias("education"), scoring.bonus(F.countDistinct(F.concat("job_id", F.col("ord").cast("string")))).alias("breadth"))
     lang = table(spark, sf, "q_languages").groupBy("candidate_id").agg(F.max(points(F.col("level"), _CEFR)).alias("languages"))
-    t = c.join(k, "candidate_id", "left").join(e, "candidate_id", "left").join(lang, "candidate_id", "left").na.fill(0.0)
+    t = c.join(k, "candidate_id", "left").join(e, "candidate_id", "left").join(lang, "candidate_id", "left").na.fill(0.0, ["skills", "education", "languages", "breadth"])
     return t.withColumn("total", scoring.total([(F.col("skills"), 40.0), (F.col("education"), 30.0), (F.col("languages"), 20.0), (F.col("breadth"), 10.0)]))
 
 
 @query(f"{_SCORED} SELECT candidate_id, job_id, total, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM z")
 def ranked_candidates(spark, sf):
-    r = scoring.rank(_scored(spark, sf).select("candidate_id", "job_id", "total"), [F.desc("total"), F.asc("candidate_id")], ["job_id"])
-    return r.withColumn("n", F.count("*").over(Window.partitionBy("job_id")))
+    """Every candidate's place among its job's, and how many those are; jobs of any size are sorted by many tasks."""
+    return scoring.ranked(_scored(spark, sf).select("candidate_id", "job_id", "total"), "job_id", [F.desc("total"), F.asc("candidate_id")])
 
 
 @query(f"{_SCORED}, q AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank FROM z) SELECT job_id, candidate_id, total, rank FROM q WHERE rank <= 5")
@@ -534,10 +534,9 @@ def contrast_pairs(spark, sf):
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY received_at, doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents")
 def progress_index(spark, sf):
-    """Place and size within each source; the size comes from a pre-aggregation, the place from a sort by source."""
+    """Place and size within each source, whatever its share of the rows."""
     d = table(spark, sf, "documents").select("source", "doc_id", "received_at")
-    w = Window.partitionBy("source").orderBy("received_at", "doc_id")
-    return d.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("source"))).select("source", "doc_id", "i", "n")
+    return scoring.ranked(d, "source", [F.asc_nulls_last("received_at"), F.asc("doc_id")]).select("source", "doc_id", F.col("rank").alias("i"), "n")
 
 
 @query(
@@ -546,8 +545,8 @@ def progress_index(spark, sf):
 )
 def free_ids(spark, sf):
     k = table(spark, sf, "documents").select("doc_id", F.date_format("received_at", "yyyyMMdd-HH").alias("stamp"))
-    i = F.row_number().over(Window.partitionBy("stamp").orderBy("doc_id"))
-    return k.withColumn("i", i).select("doc_id", F.when(F.col("i") == 1, F.col("stamp")).otherwise(F.concat("stamp", F.lit("-"), F.col("i").cast("string"))).alias("free_id"))
+    k = scoring.ranked(k, "stamp", [F.asc("doc_id")]).withColumnRenamed("rank", "i")
+    return k.select("doc_id", F.when(F.col("i") == 1, F.col("stamp")).otherwise(F.concat("stamp", F.lit("-"), F.col("i").cast("string"))).alias("free_id"))
 
 
 @query("SELECT candidate_id, max(ingested_at) AS ingested_at, arg_max(status, ingested_at) AS status FROM candidates GROUP BY 1")
