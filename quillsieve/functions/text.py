@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -53,6 +54,36 @@ def unmask_each(c: Column) -> Column:
     return F.arrow_udf(lists, "array<string>")(c)
 
 
+#: Control characters that stand for a letter where a single-byte encoding was taken for another.
+_CONTROLS = {0x8A: "s", 0x9A: "s", 0x8C: "s", 0x9C: "s", 0x8E: "z", 0x9E: "z", 0x9F: "y"}
+
+
+def _decomposed(batch: pa.Array, form) -> pa.Array:
+    return pa.array([None if t is None else form(t if t.isascii() else "".join([ch for ch in unicodedata.normalize("NFKD", t) if not "\u0300" <= ch <= "\u036f"])) for t in batch.to_pylist()], pa.string())
+
+
+def norm(c: Column) -> Column:
+    """Compatibility forms decomposed, accents dropped, small letters, none of the white space at the ends."""
+    return F.trim(F.lower(F.arrow_udf(lambda b: _decomposed(b, str.strip), "string")(c)))
+
+
+def norm_name(c: Column) -> Column:
+    """``norm`` with white space runs as one space."""
+    return F.arrow_udf(lambda b: _decomposed(b, lambda t: " ".join(t.lower().split())), "string")(c)
+
+
+def fold_controls(c: Column) -> Column:
+    """``norm`` for text with controls: those that stand for a letter are it, others spaces; white space runs as one."""
+    table = {o: _CONTROLS.get(o, " ") for o in range(0x80, 0xA0)}
+    return F.arrow_udf(lambda b: _decomposed(b, lambda t: re.sub(r"\s+", " ", t.translate(table)).lower()), "string")(c)
+
+
+def strip_markdown_head(c: Column) -> Column:
+    """A converter's text without the heading that names the file and the list of metadata after it."""
+    t = F.regexp_replace(F.regexp_replace(c, r"^\x{FEFF}", ""), r"^#[^\n]*\n+", "")
+    return trimmed(F.regexp_replace(t, r"(?i)^##[ \t]*Metadata[ \t]*\n(?:[ \t]*-[^\n]*\n?)*", ""))
+
+
 def invisible_count(c: Column) -> Column:
     """How many characters can't be seen; 0 for an empty text."""
     return F.length(c) - F.length(strip_invisible(c))
