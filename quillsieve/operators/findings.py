@@ -72,3 +72,11 @@ def quality(results: DataFrame) -> DataFrame:
         F.round(rate("flagged", p), 6).alias("detection_recall"), F.round(rate("critical", p), 6).alias("critical_recall"),
         F.round(rate("contained", p), 6).alias("containment_recall"), F.round(rate("flagged", ~p), 6).alias("false_positive_rate"), F.count("*").alias("n"),
     )
+
+
+def reaches(visible: Column, hidden: Column, payload: Column) -> Column:
+    """struct(in_visible, in_hidden): whether a payload stands in what a reader, and so a model, gets, and in what is held
+    back; all three folded, without disguises. A blank payload stands nowhere."""
+    p = fold(unmask(payload))
+    there = lambda c: F.coalesce((p != "") & F.contains(fold(unmask(c)), p), F.lit(False))
+    return F.struct(there(visible).alias("in_visible"), there(hidden).alias("in_hidden"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .findings import severity_rank
-from .scoring import rank, state
+from .scoring import rank, ranked, state
 
 #: What detection must reach, and what false positives may.
 LEAST = {"detection_recall": 0.98, "containment_recall": 0.98}
@@ -51,6 +51,12 @@ def last_per_name(extracts: DataFrame, key: str, name: str, order: str) -> DataF
     return extracts.groupBy(key, name).agg(F.max_by(F.struct(*cols), order).alias("r")).select(key, name, "r.*")
 
 
+def displayed(ranking: DataFrame, group: str) -> DataFrame:
+    """The rows of a ranking that are shown, those of applicants (is_candidate not false), with their place among them."""
+    shown = ranking.where(F.coalesce("is_candidate", F.lit(True)))
+    return ranked(shown.withColumnRenamed("rank", "__rank").drop("n"), group, [F.asc("__rank")]).withColumnRenamed("rank", "place").withColumnRenamed("__rank", "rank")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """(value): a JSON object a row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -110,3 +110,8 @@ def ranked(scored: DataFrame, group: str, by: list[Column], parts: int = 0) -> D
     within = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__task", group).orderBy(*by)))
     met = within.alias("w").join(offsets.alias("o"), F.col("w.__task").eqNullSafe(F.col("o.__task")) & F.col(f"w.{group}").eqNullSafe(F.col(f"o.{group}")))
     return met.select("w.*", (F.col("o.__before") + F.col("w.__i")).alias("rank"), F.col("o.n").alias("n")).drop("__i", "__task")
+
+
+def totals(breakdown_rows: DataFrame, key: str) -> DataFrame:
+    """(key, total): the contributions of a breakdown added up, rounded half up to a tenth."""
+    return breakdown_rows.groupBy(key).agg(half_up(F.round(F.sum("contribution"), 9)).alias("total"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, nested, reporting, scanning, screening
+from . import facts, nested, pipeline, reporting, scanning, screening
 
 FLAGSHIP = screening.ranked_candidates
-QUERIES = {**screening.QUERIES, **nested.QUERIES, **scanning.QUERIES, **facts.QUERIES, **reporting.QUERIES}
-SQL = {**screening.SQL, **nested.SQL, **scanning.SQL, **facts.SQL, **reporting.SQL}
+QUERIES = {**screening.QUERIES, **nested.QUERIES, **scanning.QUERIES, **facts.QUERIES, **reporting.QUERIES, **pipeline.QUERIES}
+SQL = {**screening.SQL, **nested.SQL, **scanning.SQL, **facts.SQL, **reporting.SQL, **pipeline.SQL}

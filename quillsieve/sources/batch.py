@@ -45,8 +45,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON results of any version: members that a file lacks are null, unreadable lines are left out."""
-    df = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.cache().where("_bad IS NULL").drop("_bad")
+    lines = spark.read.text(path)
+    return lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r._bad IS NULL AND r IS NOT NULL").select("r.*").drop("_bad")
+
+
+def removed(kept: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """A keyed table without the rows of ``keys``."""
+    return kept.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def write_json(df: DataFrame, path: str) -> None:
