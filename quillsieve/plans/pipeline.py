@@ -92,7 +92,7 @@ def _page(text: str) -> bytes:
 
 
 #: What XML can't hold, and what the parsers take for unseen.
-_PLAIN = r"^[\x{09}\x{0A}\x{20}-\x{7E}\x{A1}-\x{AC}\x{AE}-\x{17F}\x{400}-\x{45F}\x{490}\x{491}]*$"
+_PLAIN = r"^[\x{09}\x{0A}\x{20}-\x{7E}\x{A1}-\x{AC}\x{AE}-\x{17F}\x{400}-\x{45F}\x{490}\x{491}]*\z"
 
 
 def _made(spark, sf, make, suffix: str) -> DataFrame:
@@ -109,21 +109,21 @@ def _made(spark, sf, make, suffix: str) -> DataFrame:
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^[\s]+', ''), '[\s]+$', '')), lambda l: l <> '')"
 
 
-@query(rf"SELECT doc_id, true AS ok, md5(array_to_string({_LINES}, chr(10))) AS visible, 0::BIGINT AS n_hidden FROM documents WHERE length(text) > 0 AND regexp_full_match(text, '{_PLAIN[1:-1]}')")
+@query(rf"SELECT doc_id, true AS ok, md5(array_to_string({_LINES}, chr(10))) AS visible, 0::BIGINT AS n_hidden FROM documents WHERE length(text) > 0 AND regexp_full_match(text, '{_PLAIN[1:-2]}')")
 def word_round_trip(spark, sf):
     """Texts written as word processing documents and read back: a line a paragraph, none of it hidden."""
     got = dispatch.scan(_made(spark, sf, _word, "docx"))
     return got.select(F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), "ok", F.md5("visible").alias("visible"), F.length("hidden").cast("long").alias("n_hidden"))
 
 
-@query(rf"SELECT doc_id, true AS ok, md5(array_to_string(string_split(text, chr(10)), ' ')) AS visible FROM documents WHERE length(text) > 0 AND trim(text, ' ' || chr(10) || chr(9)) <> '' AND regexp_full_match(text, '{_PLAIN[1:-1]}')")
+@query(rf"SELECT doc_id, true AS ok, md5(array_to_string(string_split(text, chr(10)), ' ')) AS visible FROM documents WHERE length(text) > 0 AND trim(text, ' ' || chr(10) || chr(9)) <> '' AND regexp_full_match(text, '{_PLAIN[1:-2]}')")
 def page_round_trip(spark, sf):
     """Texts written as page documents and read back."""
     got = dispatch.scan(_made(spark, sf, _page, "pdf")).where("trim(BOTH '\n\t ' FROM visible) <> ''")
     return got.select(F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), "ok", F.md5("visible").alias("visible"))
 
 
-@query(rf"SELECT scan_id, contains(lower(strip_accents(visible_text)), 'sql') AS in_visible, contains(lower(strip_accents(hidden_text)), 'sql') AS in_hidden FROM {screening._S} WHERE regexp_full_match(visible_text || hidden_text, '{_PLAIN[1:-1]}')")
+@query(rf"SELECT scan_id, contains(lower(strip_accents(visible_text)), 'sql') AS in_visible, contains(lower(strip_accents(hidden_text)), 'sql') AS in_hidden FROM {screening._S} WHERE regexp_full_match(visible_text || hidden_text, '{_PLAIN[1:-2]}')")
 def payload_places(spark, sf):
     """Whether a word stands in what a model gets and in what is held back, of scans with both in ordinary letters."""
     s = screening._scans(spark, sf, "visible_text", "hidden_text").where(F.concat("visible_text", "hidden_text").rlike(_PLAIN))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,16 @@ def escalated_findings(spark, sf):
     return f.select("flag_id", findings.escalate(F.col("severity"), findings.instruction(F.col("evidence"), broad=True)).alias("severity"), F.substring("evidence", 1, findings.CLIP).alias("evidence"))
 
 
+def _bare_sql(c: str) -> str:
+    """Mathematical and full-width letters as plain ones, without the unseen characters; what SQL can do of the operator's probe."""
+    odd = [chr(o) for o in (*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)) if len(unicodedata.normalize("NFKC", chr(o))) == 1 and unicodedata.normalize("NFKC", chr(o)) != chr(o)]
+    plain = "".join(unicodedata.normalize("NFKC", o) for o in odd).replace("'", "''")
+    return rf"regexp_replace(translate({c}, '{''.join(odd)}', '{plain}'), '[{text.INVISIBLE}\x{{300}}-\x{{36F}}]', '', 'g')"
+
+
 @query(
     rf"""WITH s AS (SELECT scan_id, hidden_text AS t, string_split(regexp_replace(replace(hidden_text, chr(10), chr(1)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM {_S} WHERE hidden_text <> '')
-    SELECT scan_id, substr(coalesce(list_filter(p, lambda x: regexp_matches({_fold_sql('x')}, '{findings.OVERRIDE}'))[1], t), 1, 300) AS context FROM s"""
+    SELECT scan_id, substr(coalesce(list_filter(p, lambda x: regexp_matches({_fold_sql('x')}, '{findings.OVERRIDE}') OR regexp_matches({_fold_sql(_bare_sql('x'))}, '{findings.OVERRIDE}'))[1], t), 1, 300) AS context FROM s"""
 )
 def instruction_context(spark, sf):
     """Hidden texts with the sentence that holds the instruction."""
