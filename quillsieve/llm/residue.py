@@ -109,18 +109,25 @@ _BRACED = re.compile(
 )
 _BRACKET = re.compile(r"\[([^\[\]\n]{2,60})\]|<([^<>\n=/]{2,60})>|«([^«»\n]{2,40})»|\(([^()\n]{4,60})\)|‹([^‹›\n]{2,40})›")
 _BLANK = re.compile(r"_{5,}|\bX{4,}\b|\b(?:T\s?B\s?[CD])(?:\s+TB[CD]){1,}\b|\bTODO\s*:|\bundefined undefined\b|\bNaN\b|Sir/Madam\s+NULL\b|\bNULL\b|\.{8,}|…{4,}")
+_SPACED = re.compile(r"T\sB")
 _REPEATED = re.compile(r"(?<!\w)([^\W_]{2,10})(?:\s+\1){5,}(?!\w)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|<[^<>]{1,200}>")
-_SPACE = re.compile(r"[^\S\n]+")
+_SPACE = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _COUNTED = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W\d_]+")
 _NEAR_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
+#: Combining marks of Latin, Greek and Cyrillic, and a range that holds all others.
+_MARKS, _OTHER_MARKS = re.compile("[\u0300-\u036f]"), re.compile("[\u0483-\u0489\u0591-\u1dff\u20d0-\u20f0\u2cef-\U0010ffff]")
+
+
 def fold(text: str) -> str:
     """Lower case without accents; line feeds stay, other white space becomes one space."""
     if not text.isascii():
-        text = "".join([c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)]) if any(c > "\u007f" for c in text) else text
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        if _OTHER_MARKS.search(text):
+            text = "".join([c for c in text if not unicodedata.combining(c)])
     return _SPACE.sub(" ", text.lower())
 
 
@@ -180,7 +187,9 @@ def _field_like(inside: str) -> bool:
 def placeholders(text: str) -> list[str]:
     """The unfilled placeholders that stand where content belongs."""
     found = []
-    for rx in (_BRACED, _BRACKET, _BLANK):
+    braced = any(c in text for c in "{[<@$%_")
+    blank = any(c in text for c in ("_____", "XXXX", "TB", "TODO", "undefined undefined", "NaN", "NULL", "." * 8, "…" * 4)) or _SPACED.search(text)
+    for rx in (*[_BRACED] * braced, _BRACKET, *[_BLANK] * bool(blank)):
         for m in rx.finditer(text):
             if rx is _BRACED and m.group(1) in _ENVIRONMENT:
                 continue
