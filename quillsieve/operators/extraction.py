@@ -106,25 +106,6 @@ def merged(answers: DataFrame, key: str, order: str) -> DataFrame:
     return out.na.fill(0, ["n_skills", "n_certifications"])
 
 
-def merged_answers(answers: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, q): a key's documents as one answer, as ``merged`` counts them: years at their largest, skills and certifications
-    once by name as they came first, the others in order. A key's documents are few; rows without a key are left out."""
-    known = answers.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "q"))).alias("d"))
-    block = lambda b: F.flatten(F.transform("d", lambda x: x["q"][b]))
-
-    def first(items: Column, name: Callable[[Column], Column]) -> Column:
-        folded = lambda c: F.lower(F.trim(name(c)))
-        names = F.transform(items, lambda c: folded(c))
-        return F.filter(items, lambda c, i: (folded(c) != "") & (F.array_position(names, folded(c)) == i + 1))
-
-    years = F.array_max(F.transform("d", lambda x: x["q"]["years"]))
-    q = F.struct(
-        F.when(years.isNotNull(), F.greatest(years, F.lit(0.0))).alias("years"), block("experience").alias("experience"), first(block("skills"), lambda c: c["name"]).alias("skills"), block("education").alias("education"),
-        block("languages").alias("languages"), first(block("certifications"), lambda c: c).alias("certifications"),
-    )
-    return known.select(key, q.alias("q"))
-
-
 def merged_contacts(identities: DataFrame, key: str, order: str, field: str) -> DataFrame:
     """(key, item): a key's addresses, numbers or links, each once whatever its case, as it came first."""
     rows = identities.where(F.col(key).isNotNull()).select(key, order, F.posexplode(F.col(field)).alias("ord", "item")).withColumn("item", F.trim("item")).where("item <> ''")

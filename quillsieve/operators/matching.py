@@ -115,7 +115,7 @@ def language_score(langs: DataFrame, wanted: list[str], dictionary: DataFrame, k
     is known if any is, and stated if all known ones are, else inferred. Keys without a row have none.
     """
     phrase = langs.select(key, "ord", F.col("language").alias("value"), fold(F.coalesce("level_raw", "level")).alias("phrase")).where(F.col(key).isNotNull())
-    same = F.broadcast(same_language(langs.select("language"), wanted, dictionary, "language"))  # distinct names of len(wanted) languages, mapped from a short dictionary
+    same = same_language(langs.select("language"), wanted, dictionary, "language")  # a row per name, so a frequent name is split by the planner
     points = F.create_map(*[F.lit(x) for kv in LEVEL_POINTS.items() for x in kv])
     met = phrase.join(same, "value").withColumn("l", level_of(F.col("phrase"))).where("l.level IS NOT NULL")
     best = met.groupBy(key, "wanted").agg(F.max(F.struct(points[F.col("l.level")].alias("p"), (-F.col("ord")).alias("o"), F.col("l.stated").alias("stated"))).alias("b"))

@@ -63,10 +63,9 @@ def as_json(df: DataFrame) -> DataFrame:
 
 
 def exit_code(findings: DataFrame, documents: DataFrame) -> DataFrame:
-    """(code): 2 if a document couldn't be scanned, 1 if there is a warning or worse, else 0."""
-    worst = findings.agg(F.coalesce(F.max(severity_rank(F.col("severity"))), F.lit(0)).alias("w"))
-    failed = documents.agg(F.count_if(~F.coalesce("ok", F.lit(False))).alias("f"))
-    return worst.crossJoin(failed).select(F.when(F.col("f") > 0, 2).when(F.col("w") >= 2, 1).otherwise(0).alias("code"))  # one row each
+    """(n_critical, code): 2 if a document couldn't be scanned, 1 if there is a warning or worse, else 0."""
+    rows = findings.select(severity_rank(F.col("severity")).alias("r"), F.lit(0).alias("bad")).unionByName(documents.select(F.lit(0).alias("r"), (~F.coalesce("ok", F.lit(False))).cast("int").alias("bad")))
+    return rows.agg(F.count_if(F.col("r") == 3).alias("n_critical"), F.when(F.max("bad") > 0, 2).when(F.max("r") >= 2, 1).otherwise(0).alias("code"))
 
 
 def passed(quality: DataFrame) -> DataFrame:

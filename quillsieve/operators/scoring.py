@@ -61,34 +61,67 @@ def rank(scored: DataFrame, by: list[Column], group: list[str], name: str = "ran
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
 
 
-def breakdown(answers: DataFrame, key: str, weights: dict[str, float], required: list[str], points: dict[str, float], years: tuple[float, float] = (0.0, 8.0)) -> DataFrame:
-    """(key, criterion, weight, score, contribution, known, basis): a row per criterion of ``weights`` of every answer.
-
-    answers: key, q as ``extraction.qualification`` has it. years, skills (shares of ``required`` met, known where any are
-    required, stated where a matching skill has evidence), education (best of ``points`` by folded level), tenure (mean of
-    known months) and certifications (a bonus). Unknown is kept apart from zero.
-    """
+def _features(answers: DataFrame, required: list[str], points: dict[str, float]) -> DataFrame:
+    """Adds what the criteria need of an answer (q): __years, __hit_i (whether a skill meets the i-th required), __said
+    (whether one that meets any has evidence), __education, __months, __places and __certificates."""
     q = lambda path: F.col(f"q.{path}")
-    names = F.array_distinct(F.filter(F.transform(q("skills"), lambda s: fold(s["name"])), lambda n: n != ""))
-    wanted = F.array(*[fold(F.lit(w)) for w in required])
-    a = answers.withColumn("__names", names).withColumn("__hits", F.filter(wanted, lambda w: F.exists("__names", lambda h: has_skill(h, w))))
-    said = F.exists(q("skills"), lambda s: (F.coalesce(s["evidence"], F.lit("")) != "") & F.exists(wanted, lambda w: has_skill(fold(s["name"]), w)))
-    by = F.create_map(*[F.lit(x) for kv in points.items() for x in kv])
+    wanted = [fold(F.lit(w)) for w in required]
+    a = answers.withColumn("__skills", F.transform(q("skills"), lambda s: F.struct(fold(s["name"]).alias("n"), (F.coalesce(s["evidence"], F.lit("")) != "").alias("e"))))
+    by = F.create_map(*[F.lit(x) for kv in points.items() for x in kv]) if points else F.create_map().cast("map<string,double>")
     levels = F.transform(q("education"), lambda e: F.coalesce(F.try_element_at(by, fold(e["level"])), F.lit(0.0)))
     months = F.filter(F.transform(q("experience"), lambda e: e["months"]), lambda m: m.isNotNull())
-    mean = F.aggregate(months, F.lit(0.0), lambda x, m: x + m) / F.nullif(F.size(months), F.lit(0))
+    met = lambda w, said=False: F.exists("__skills", lambda s: has_skill(s["n"], w) & (s["e"] if said else F.lit(True)))
+    said = F.lit(False)
+    for w in wanted:
+        said = said | met(w, True)
+    return a.withColumns(
+        {f"__hit_{i}": met(w) for i, w in enumerate(wanted)}
+        | {"__said": said, "__years": q("years"), "__education": F.array_max(levels), "__months": F.aggregate(months, F.lit(0.0), lambda x, m: x + m), "__places": F.size(months), "__certificates": F.size(q("certifications"))}
+    ).drop("__skills")
+
+
+def _criteria(features: DataFrame, key: str, weights: dict[str, float], n_required: int, years: tuple[float, float]) -> DataFrame:
+    hits = F.lit(0)
+    for i in range(n_required):
+        hits = hits + F.col(f"__hit_{i}").cast("int")
+    mean = F.col("__months") / F.nullif(F.col("__places"), F.lit(0))
     stated = lambda known: F.when(known, "stated").otherwise("unknown")
-    some = F.lit(bool(required))
+    some, taught, known = F.lit(n_required > 0), F.col("__education").isNotNull(), F.col("__years").isNotNull()
     every = {
-        "years": (numeric_scale(q("years"), *years), q("years").isNotNull(), stated(q("years").isNotNull())),
-        "skills": (F.size("__hits") * 10.0 / max(1, len(required)), some, F.when(~some, "unknown").when(said, "stated").otherwise("inferred")),
-        "education": (category_points(levels), F.size(levels) > 0, stated(F.size(levels) > 0)),
+        "years": (numeric_scale(F.col("__years"), *years), known, stated(known)),
+        "skills": (hits * 10.0 / max(1, n_required), some, F.when(~some, "unknown").when(F.col("__said"), "stated").otherwise("inferred")),
+        "education": (F.coalesce("__education", F.lit(0.0)), taught, stated(taught)),
         "tenure": (tenure(mean), mean.isNotNull(), stated(mean.isNotNull())),
-        "certifications": (bonus(F.size(q("certifications"))), F.lit(True), F.lit("stated")),
+        "certifications": (bonus(F.col("__certificates")), F.lit(True), F.lit("stated")),
     }
     whole = sum(weights.values()) or 1.0
     row = lambda n: F.struct(F.lit(n).alias("criterion"), F.lit(weights[n]).alias("weight"), every[n][0].alias("score"), (F.lit(weights[n]) / F.lit(whole) * every[n][0] * 10).alias("contribution"), every[n][1].alias("known"), every[n][2].alias("basis"))
-    return a.select(key, F.explode(F.array(*[row(n) for n in weights])).alias("r")).select(key, "r.*")
+    return features.select(key, F.explode(F.array(*[row(n) for n in weights])).alias("r")).select(key, "r.*")
+
+
+def breakdown(answers: DataFrame, key: str, weights: dict[str, float], required: list[str], points: dict[str, float], years: tuple[float, float] = (0.0, 8.0)) -> DataFrame:
+    """(key, criterion, weight, score, contribution, known, basis): a row per criterion of ``weights`` of every answer.
+
+    answers: key, q as ``extraction.qualification`` has it. years, skills (shares of ``required`` met, known where any are
+    required, stated where a matching skill has evidence), education (best of ``points`` by folded level), tenure (mean of
+    known months) and certifications (a bonus). Unknown is kept apart from zero.
+    """
+    return _criteria(_features(answers.select(key, "q"), required, points), key, weights, len(required), years)
+
+
+def merged_breakdown(answers: DataFrame, key: str, weights: dict[str, float], required: list[str], points: dict[str, float], years: tuple[float, float] = (0.0, 8.0)) -> DataFrame:
+    """``breakdown`` of all answers of a key as one: years at their largest, at least 0, certifications once by name. Each
+    answer is reduced to what the criteria need before rows meet, so no key's answers are gathered; rows without a key are
+    left out."""
+    known = answers.where(F.col(key).isNotNull())
+    f = _features(known.select(key, "q"), required, points)
+    top = F.max("__years")
+    one = f.groupBy(key).agg(
+        F.when(top.isNotNull(), F.greatest(top, F.lit(0.0))).alias("__years"), *[F.bool_or(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(required))], F.bool_or("__said").alias("__said"),
+        F.max("__education").alias("__education"), F.sum("__months").alias("__months"), F.sum("__places").alias("__places"),
+    )
+    named = known.select(key, F.explode("q.certifications").alias("c")).select(key, F.lower(F.trim("c")).alias("c")).where("c <> ''").distinct().groupBy(key).agg(F.count("*").alias("__certificates"))
+    return _criteria(one.join(named, key, "left").na.fill(0, ["__certificates"]), key, weights, len(required), years)
 
 
 def state(score: Column, known: Column) -> Column:

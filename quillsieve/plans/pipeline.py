@@ -38,13 +38,12 @@ def evaluate(files: DataFrame, answers: DataFrame, required: list[str], points:
     and scored; misses are the texts without a kept answer. Identity is no part of the score."""
     scans = dispatch.scan(files, images).join(files.select("path", "candidate_id"), "path")
     hits, misses = extraction.extract(scans.where("ok").select("path", "candidate_id", "visible"), answers, "path", "visible")
-    return scans, misses, rescore(hits, "candidate_id", "path", required, points)
+    return scans, misses, rescore(hits, "candidate_id", required, points)
 
 
-def rescore(answers: DataFrame, key: str, order: str, required: list[str], points: dict[str, float], weights: dict[str, float] | None = None) -> DataFrame:
+def rescore(answers: DataFrame, key: str, required: list[str], points: dict[str, float], weights: dict[str, float] | None = None) -> DataFrame:
     """(key, total) of sanitized answers merged by key: no file is read and no model asked again."""
-    merged = extraction.merged_answers(answers, key, order)
-    return scoring.totals(scoring.breakdown(merged, key, weights or _WEIGHTS, required, points), key)
+    return scoring.totals(scoring.merged_breakdown(answers, key, weights or _WEIGHTS, required, points), key)
 
 
 _RESCORED = f"""WITH {facts._BASE}, s AS (SELECT candidate_id AS c, lower(trim({facts._NAME('name')})) AS n FROM ({facts._items('skills')}) WHERE trim({facts._NAME('name')}) <> ''),
@@ -62,7 +61,7 @@ _RESCORED = f"""WITH {facts._BASE}, s AS (SELECT candidate_id AS c, lower(trim({
 @query(f"{_RESCORED} SELECT candidate_id, job_id, total, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM r")
 def rescored(spark, sf):
     """Candidates scored by all their kept answers and ranked within their job."""
-    s = rescore(facts._answers(spark, sf), "candidate_id", "extraction_id", facts._REQUIRED, facts._EDU)
+    s = rescore(facts._answers(spark, sf), "candidate_id", facts._REQUIRED, facts._EDU)
     jobs = table(spark, sf, "candidates").groupBy("candidate_id").agg(F.min("job_id").alias("job_id"))
     return scoring.ranked(s.join(jobs, "candidate_id"), "job_id", [F.desc("total"), F.asc("candidate_id")]).select("candidate_id", "job_id", "total", "rank", "n")
 

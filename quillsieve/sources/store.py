@@ -82,9 +82,8 @@ def alongside(kept: DataFrame, incoming: DataFrame, order: str = "created") -> D
     number = F.coalesce(F.nullif(F.regexp_extract("id", r"^[0-9]{8}-[0-9]{4}-([0-9]{1,2})$", 1), F.lit("")).cast("int"), F.lit(1))
     used = kept.select(base.alias("__base"), number.alias("__n")).groupBy("__base").agg(F.collect_set("__n").alias("__used"))  # at most a hundred to a base
     new = ranked(incoming.withColumn("__base", base), "__base", [F.asc(order), F.asc("title")]).drop("n")
-    free = F.array_except(F.sequence(F.lit(1), F.col("rank").cast("int") + F.size("__used")), "__used")
     met = new.join(used, "__base", "left").withColumn("__used", F.coalesce("__used", F.array().cast("array<int>")))
-    n = F.element_at(F.array_sort(free), F.col("rank").cast("int"))
+    n = F.aggregate(F.array_sort("__used"), F.col("rank").cast("int"), lambda at, taken: F.when(taken <= at, at + 1).otherwise(at))
     return met.withColumn("id", F.when(n == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), n.cast("string")))).drop("__base", "__used", "rank")
 
 

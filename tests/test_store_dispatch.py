@@ -93,3 +93,28 @@ def test_reports(spark):
     f, d = spark.createDataFrame([("warn",)], "severity string"), spark.createDataFrame([(True,)], "ok boolean")
     assert [reports.exit_code(x, y).first().code for x, y in ((f, d), (f.limit(0), d), (f, d.withColumn("ok", F.lit(False))), (f.limit(0), d.limit(0)))] == [1, 0, 2, 0]
     assert json.loads(reports.as_json(f).first().value) == {"severity": "warn"}
+
+
+def test_evaluate_and_rescore(spark):
+    """Files to scores: kept answers count, unread files and texts without an answer are told apart, weights can change."""
+    from quillsieve.operators import extraction
+    from quillsieve.plans import pipeline
+
+    files = spark.createDataFrame([("a.docx", package(run("Python for years")), 1), ("b.txt", b"letter", 1), ("c.txt", b"other", 2), ("d.docx", b"broken", 3)], "path string, content binary, candidate_id bigint")
+    answers = spark.createDataFrame([("a.docx", '{"years_total_experience": 4, "skills": ["Python", "SQL"], "certifications": ["x", "X "]}'), ("b.txt", '{"years_total_experience": 8, "education": ["bachelor"]}')], "path string, raw string")
+    scans, misses, scores = pipeline.evaluate(files, answers, ["python", "java"], {"bachelor": 7.0})
+    assert sorted((r.path, r.ok) for r in scans.collect()) == [("a.docx", True), ("b.txt", True), ("c.txt", True), ("d.docx", False)]
+    assert [r.path for r in misses.collect()] == ["c.txt"]
+    # years 10, skills 5, education 7, tenure unknown 5, one certificate 2, over weights of 90
+    assert [(r.candidate_id, r.total) for r in scores.collect()] == [(1, 63.9)]
+    q = extraction.sanitized(answers.withColumn("k", F.lit(1)).withColumnRenamed("raw", "qualification_json"))
+    assert [r.total for r in pipeline.rescore(q, "k", ["python", "java"], {"bachelor": 7.0}, {"skills": 1.0}).collect()] == [50.0]
+    assert pipeline.rescore(q.limit(0), "k", [], {}).count() == 0
+
+
+def test_derived_requirements(spark):
+    from quillsieve.operators import extraction
+
+    raw = json.dumps({"minYears": 5, "requiredSkills": [f"s{i}" for i in range(20)], "languages": ["cs"]})
+    r = extraction.derived(spark.createDataFrame([(raw,), (None,)], "raw string")).collect()
+    assert (r[0].asked_years, r[0].min_years, len(r[0].required_skills)) == (5, 0, 12) and (r[1].asked_years, r[1].required_skills) == (0, [])
