@@ -105,20 +105,33 @@ def distance(a: str, b: str, most: float) -> float:
     a substitution of neighbouring keys 0.8, any other edit 1; a changed first letter 0.3 more. Beyond ``most``: infinity."""
     if abs(len(a) - len(b)) > most + 1:
         return float("inf")
+    band, n, far = int(most / 0.7) + 1, len(b), float("inf")  # further from the diagonal no path is within the bound
     before: list[float] = []
-    last = [float(j) for j in range(len(b) + 1)]
+    last = [float(j) if j <= band else far for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        row = [float(i)]
-        for j, y in enumerate(b, 1):
-            drop = 0.7 if i > 1 and a[i - 2] == x else 1.0
-            add = 0.7 if j > 1 and b[j - 2] == y else 1.0
-            change = 0.0 if x == y else 0.8 if frozenset((x, y)) in _NEAR_KEYS else 1.0
-            best = min(last[j] + drop, row[j - 1] + add, last[j - 1] + change)
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                best = min(best, before[j - 2] + 0.8)
-            row.append(best)
-        if min(row) > most:
-            return float("inf")
+        row = [far] * (n + 1)
+        low = far
+        if i <= band:
+            row[0] = low = float(i)
+        twin, prev = a[i - 2] == x if i > 1 else False, a[i - 2] if i > 1 else ""
+        for j in range(max(1, i - band), min(n, i + band) + 1):
+            y = b[j - 1]
+            best = last[j - 1] + (0.0 if x == y else 0.8 if frozenset((x, y)) in _NEAR_KEYS else 1.0)
+            d = last[j] + (0.7 if twin else 1.0)
+            if d < best:
+                best = d
+            d = row[j - 1] + (0.7 if j > 1 and b[j - 2] == y else 1.0)
+            if d < best:
+                best = d
+            if prev and j > 1 and x == b[j - 2] and y == prev:
+                d = before[j - 2] + 0.8
+                if d < best:
+                    best = d
+            row[j] = best
+            if best < low:
+                low = best
+        if low > most:
+            return far
         before, last = last, row
     d = last[-1] + (0.3 if a[:1] != b[:1] and last[-1] else 0)
     return d if d <= most else float("inf")
