@@ -48,16 +48,6 @@ _MARKS = "\\x{300}-\\x{36F}\\x{483}-\\x{489}\\x{1AB0}-\\x{1AFF}\\x{1DC0}-\\x{1DF
 _SCRIPTS = "\\x{131}\\x{251}\\x{261}\\x{370}-\\x{587}\\x{2170}-\\x{217F}"
 
 
-@lru_cache(maxsize=1)
-def value_pattern() -> str:
-    """Java pattern of a value: a piece between plain white space with an odd character, or with letters of two scripts."""
-    odd = "[" + _MARKS + _cls([*INVISIBLE, *SPACES, *_CONTROLS, *map(ord, compat()), *map(ord, SIGNS)]) + "]"
-    latin = "[A-Za-z\\x{C0}-\\x{24F}]"
-    foreign = f"[{_SCRIPTS}]"
-    piece = "[^ \\t\\r\\n]"
-    return f"(?<!{piece})(?:(?={piece}*{odd})|(?={piece}*{latin})(?={piece}*{foreign})){piece}+"
-
-
 @lru_cache(maxsize=1)
 def any_pattern() -> str:
     """Java pattern of the characters without which a text has no value; one pass over a text, before the pieces are cut."""
@@ -124,10 +114,32 @@ def _texts(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return whole
 
 
-def candidates(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """(src, rec_id, text, pieces): the texts that have any value, and their distinct values."""
-    pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(value_pattern()), F.lit(0)))
-    return _texts(sources).where(F.col("text").rlike(any_pattern())).withColumn("pieces", pieces).where(F.size("pieces") > 0)
+@lru_cache(maxsize=1)
+def _odd() -> tuple[re.Pattern, re.Pattern]:
+    """Characters that make a piece a value, and those without which a text has none."""
+    points = sorted({*INVISIBLE, *SPACES, *_CONTROLS, *map(ord, compat()), *map(ord, SIGNS)})
+    parts: list[list[int]] = []
+    for o in points:
+        if parts and parts[-1][1] == o - 1:
+            parts[-1][1] = o
+        else:
+            parts.append([o, o])
+    body = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts) + "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+    return re.compile(f"[{body}]"), re.compile(f"[{body}{_FOREIGN}]")
+
+
+_FOREIGN = "\u0131\u0251\u0261\u0370-\u0587\u2170-\u217f"
+_FOREIGN_LETTER, _LATIN_LETTER = re.compile(f"[{_FOREIGN}]"), re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u024f]")
+_PIECE, _CONTROL = re.compile("[^ \t\r\n]+"), re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
+def pieces(text: str) -> list[str]:
+    """A text's distinct values: pieces between plain white space with an odd character, or with letters of two scripts."""
+    odd, any_odd = _odd()
+    if not (any_odd.search(text) if not text.isascii() else _CONTROL.search(text)):
+        return []
+    found = dict.fromkeys(_PIECE.findall(text))
+    return [p for p in found if (not p.isascii() or _CONTROL.search(p)) and (odd.search(p) or _FOREIGN_LETTER.search(p) and _LATIN_LETTER.search(p))]
 
 
 def classes(values: DataFrame) -> DataFrame:
@@ -159,22 +171,23 @@ def variants(sources: list[tuple[str, DataFrame, str, str]], decoder: Repairer |
     aren't stand-ins. Repeated rows count once; null and empty texts and rows without an id have none; an empty table
     gives an empty result. Values are counted before they are joined back, and frequent ones spread.
     """
-    some = spread(candidates(sources))
-    if decoder is None:
-        some = some.select("src", "rec_id", "pieces")
-    else:
-        model = sources[0][1].sparkSession.sparkContext.broadcast(decoder)
-
-        def intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    b = whole.slice(at, 1000)
-                    asked = [i for i, src in enumerate(b.column(0).to_pylist()) if src in DECODED]
-                    bad = {i for i, (_, damaged, _) in zip(asked, model.value.repair(b.column(2).take(pa.array(asked, pa.int64())).to_pylist())) if damaged}
-                    fine = pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())
-                    yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 3)], ["src", "rec_id", "pieces"]).filter(fine)
-
-        some = some.mapInArrow(intact, "src string, rec_id bigint, pieces array<string>")
+    model = sources[0][1].sparkSession.sparkContext.broadcast(decoder)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                texts, srcs = b.column(2).to_pylist(), b.column(0).to_pylist()
+                values = [pieces(t) for t in texts]
+                if model.value is not None:
+                    asked = [i for i, v in enumerate(values) if v and srcs[i] in DECODED]
+                    for i, (_, damaged, _) in zip(asked, model.value.repair([texts[i] for i in asked])):
+                        if damaged:
+                            values[i] = []
+                some = pa.array([i for i, v in enumerate(values) if v], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array([v for v in values if v], pa.list_(pa.string()))], ["src", "rec_id", "pieces"])
+
+    some = spread(_texts(sources)).mapInArrow(cut_up, "src string, rec_id bigint, pieces array<string>")
     each = cut(some).select("src", "rec_id", F.explode("pieces").alias("value")).distinct()
     odd = classes(each.groupBy("value").agg(F.count("*").alias("n")))
     return join_counted(each, odd, ["value"], "n", ["src", "rec_id"]).select("src", "rec_id", "value", "canonical")
