@@ -49,7 +49,7 @@ SYNONYMS = {
         "course": "školení|Schulung|Weiterbildung|cours|curso|kurs|szkolenie|workshop",
     },
     "skill": {
-        "Python": "Py|PySpark developer",
+        "Python": "Py",
         "JavaScript": "ECMAScript",
         "PostgreSQL": "PgSQL",
         "Apache Spark": "PySpark",
