@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 #: Limits against packages that unfold to far more than they weigh.
 PART_BYTES, PACKAGE_BYTES, RATIO = 32 << 20, 128 << 20, 200
+#: Rows from which a frame is handed on.
+FRAME_ROWS = 20_000
 #: Names of the WordprocessingML, drawing and core property schemas.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TEXT_PARTS = re.compile(r"word/(document|header\d*|footer\d*|comments|footnotes|endnotes)\.xml$")
@@ -107,9 +109,18 @@ def runs(name: str, content: bytes | None) -> list[dict]:
 def read(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """Runs of the documents in a ``binaryFile`` table (or any with a name and bytes)."""
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_COLUMNS).astype({"para": "Int32", "run": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[dict] = []
             for n, c in zip(b[name], b[content]):
-                yield pd.DataFrame(runs(n, c), columns=_COLUMNS).astype({"para": "Int32", "run": "Int32"})
+                rows += runs(n, c)
+                if len(rows) > FRAME_ROWS:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     return files.select(name, content).mapInPandas(run, RUNS)
