@@ -130,3 +130,31 @@ def test_lost_state_and_lone_letters(spark, repairer):
     cases = ["The report was handed over in 2016 û two weeks early and on budget û says the client.", "La tarea, y tambiÈn conozco otras."]
     assert [bad for _, bad, _ in repairer.repair(cases)] == [True] * 2
     assert [bad for _, bad, _ in repairer.repair(["Il va à Paris, où il a dû attendre à la gare.", "Он й я є у місті."])] == [False] * 2
+
+
+def test_model_of_all_texts(spark):
+    """Every text counts, long ones and those beyond the first thousands too; damaged ones are taken off whole."""
+    scans = [(i, f"Line {i} of the report") for i in range(2300)] + [(2300, "La ĝardeno estas ĉarma. " * 1100), (2301, None), (2302, ""), (None, "Ŝi iras 的 🙂 hejmen.")]
+    flags = [(1, read_as(TEXTS["cs"], "utf_8", "cp1252")), (2, "Hled?me kolegu na m?sto"), (3, TEXTS["de"])]
+    tables = (spark.createDataFrame(scans, "scan_id bigint, visible_text string").repartition(5), "scan_id", "visible_text"), (spark.createDataFrame(flags, "flag_id bigint, evidence string"), "flag_id", "evidence")
+    got, want = d.repairer_for(*tables).model, d.fit([t for _, t in scans + flags if t]).model
+    assert ord("ĝ") in got.chars and got.chars == want.chars
+    assert (got.log == want.log).all() and (got.extra == want.extra).all()
+
+
+def test_counts_of_parts_add_up():
+    texts = list(TEXTS.values()) + PLAIN
+    whole = d.count([t for t in texts if t])
+    parts = d.added([d.count([t]) for t in texts if t])
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and whole[1].sum() == sum(len(t) + 1 for t in texts if t)
+    left = d.added([whole, (d.count([texts[0]])[0], -d.count([texts[0]])[1])])
+    want = d.count([t for t in texts[1:] if t])
+    assert (left[0] == want[0]).all() and (left[1] == want[1]).all()
+    assert [len(x) for x in (*d.count([]), *d.added([]))] == [0] * 4
+    many = "".join(map(chr, range(0xA0, 0x2F00)))
+    assert d.count([many])[1].sum() == len(many) + 1
+
+
+def test_damaged_agrees_with_repair(repairer):
+    texts = [read_as(TEXTS[k], true, wrong) for k, true, wrong in (("de", "cp1252", "cp850"), ("uk", "cp1251", "cp1252"), ("pl", "utf_8", "cp1250"))] + list(TEXTS.values()) + PLAIN + ["Hled?me kolegu", "Vo vo�nom"]
+    assert repairer.damaged(texts) == [bad for _, bad, _ in repairer.repair(texts)] and any(repairer.damaged(texts))
