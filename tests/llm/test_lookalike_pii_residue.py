@@ -152,3 +152,11 @@ def test_own_identity(spark):
     scans = spark.createDataFrame([(1, text), (2, text), (3, None)], "scan_id bigint, visible_text string")
     got = pii.items(scans, lex, own=pii.own_items(extractions, lex)).collect()
     assert sorted((r.scan_id, r.kind) for r in got) == [(1, "email"), (1, "name"), (1, "phone")]
+
+
+def test_lookalike_model_of_all_texts(spark):
+    """Which texts are damaged, and so no cases, is told by a model of all texts, long ones too."""
+    long = "Ich war tätig und fähig, später täglich für ähnliche Aufträge zuständig. " * 400
+    scans = spark.createDataFrame([(1, long, None)], "scan_id bigint, visible_text string, hidden_text string")
+    flags = spark.createDataFrame([(7, "Ich war t‰tig und f‰hig dabei"), (8, "Ich war dabei und dort"), (9, "Vo vo�nom čase")], "flag_id bigint, evidence string")
+    assert [tuple(r) for r in lookalike.found(scans, flags).collect()] == [("evidence", 8)]
