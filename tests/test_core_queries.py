@@ -19,3 +19,9 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert registry.FLAGSHIP(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("name", ["hidden_instructions", "disguised_instructions"])
+def test_instructions_where_texts_are_disguised(spark, name):
+    """What only shows without disguises is no row of the one and the rows of the other."""
+    assert compare(spark, "/root/testdata/sf0.01", registry.QUERIES[name], registry.SQL[name]) > 0
